@@ -1,0 +1,4 @@
+"""Registered queries with their SQL counterparts."""
+
+from ledgerlens.plans import scoring  # noqa: F401
+from ledgerlens.plans.base import ORACLES, QUERIES  # noqa: F401
