@@ -82,7 +82,8 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         text("M", "k").alias("merch_merchant_id"),
         ((F.col("k") % 10 == 0) & (F.col("value") > 30)).cast("int").alias("isMoneyLaundering"),
-        (1 / (1 + F.exp(-((F.col("amount") - 9000) / 2500 + lift)))).alias("score"),
+        # Nine digits: the last bit of exp() differs between engines, and equal scores are ties.
+        F.round(1 / (1 + F.exp(-((F.col("amount") - 9000) / 2500 + lift))), 9).alias("score"),
         (5 + F.col("k") / 10 + F.col("value") / 50).alias("latency_ms"),
     )
 
@@ -105,7 +106,7 @@ TX_SQL = """tx AS (
          CASE WHEN user_id % 5 <> 0 THEN 'PM' || (user_id % 5) END AS payment_method,
          'M' || k AS merch_merchant_id,
          CAST(k % 10 = 0 AND value > 30 AS INT) AS "isMoneyLaundering",
-         1 / (1 + exp(-((value * 100 - 9000) / 2500 + CASE WHEN k % 10 = 0 THEN 1.5 ELSE 0 END))) AS score,
+         round(1 / (1 + exp(-((value * 100 - 9000) / 2500 + CASE WHEN k % 10 = 0 THEN 1.5 ELSE 0 END))), 9) AS score,
          5 + k / 10 + value / 50 AS latency_ms
   FROM (SELECT e.*, c.*, CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INT) AS k,
                greatest(c.c_acctbal, 0) * 10 AS bal
