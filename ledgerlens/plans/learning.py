@@ -19,8 +19,8 @@ from ledgerlens.session import materialize, scratch_path
 
 LABEL = "isMoneyLaundering"
 PARAMS = {
-    "gbt": {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3},
-    "rf": {"numTrees": 12, "maxDepth": 6},
+    "gbt": {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3},
+    "rf": {"numTrees": 8, "maxDepth": 5},
     "lr": {"regParam": 1e-3, "maxIter": 50},
 }
 _COLS = (
