@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import as_category, logit, smoothed_mean
 from ledgerlens.operators.ordered import ROWS_PER_TASK, exact_quantiles, running_totals
-from ledgerlens.operators.split import time_folds
+from ledgerlens.operators.split import fold_number, fold_starts
+from ledgerlens.session import materialize
 
 RARE = "RARE"
 LOW_CARD_MAX = 8
@@ -116,12 +117,20 @@ def causal_target_means(
     how: TargetStats = TargetStats(),
     suffix: str = "_enc",
     rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Encode each row from strictly earlier rows of its category; rare categories share one."""
-    frequent = category_counts(df, cols, label).where(F.col("n") >= how.min_count)
+    """Encode each row from strictly earlier rows of its category; rare categories share one.
+
+    ``counts`` are the category counts of these rows, where they are known already.
+    """
+    if counts is None:
+        counts = materialize(category_counts(df, cols, label), "category-counts")
+    groups = fold_rare(counts, how.min_count)
+    frequent = counts.where(F.col("n") >= how.min_count)
     out = df.withColumn("_us", F.unix_micros(time_col))
     for c in cols:
         known = frequent.where(F.col("col") == c).select(F.col("category").alias("_cat"))
+        sizes = groups.where(F.col("col") == c).select(F.col("category").alias("_cat"), F.col("n").alias("_n"))
         grouped = out.join(known, as_category(F.col(c)) == F.col("_cat"), "left").withColumn(
             "_cat", F.coalesce("_cat", F.lit(RARE))
         )
@@ -132,6 +141,7 @@ def causal_target_means(
             {"_seen": F.lit(1).cast("bigint"), "_pos": F.col(label).cast("bigint")},
             id_col,
             rows_per_task,
+            sizes,
         )
         out = totals.withColumn(
             f"{c}{suffix}", how.encode(F.col("_pos"), F.col("_seen"), prior)
@@ -155,12 +165,14 @@ def oof_target_encode(
     of that small table, rare categories decided per fold. The first block has nothing before it
     and is encoded row by row from strictly earlier rows. The prior is the mean over all rows.
     """
-    prior = label_mean(df, label)
-    folded = time_folds(df, time_col, id_col, how.n_splits, "fold", rows_per_task)
-    if folded.where(F.col("fold").isNull()).limit(1).count():
-        default = how.default(prior)
-        return folded.withColumns({f"{c}{suffix}": default for c in cols})
-    counts = category_counts(folded, cols, label, ["fold"])
+    total = df.agg(F.avg(F.col(label).cast("double")).alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    prior = float(total["mean"] or 0.0)
+    starts = fold_starts(df, time_col, id_col, how.n_splits, total["n"], rows_per_task)
+    folded = df.withColumn("fold", fold_number(starts, time_col, id_col))
+    if starts is None:
+        return folded.withColumns({f"{c}{suffix}": how.default(prior) for c in cols})
+    # The one pass over the rows; all that follows before the lookups reads this small table.
+    counts = materialize(category_counts(folded, cols, label, ["fold"]), "category-counts")
     earlier = (
         counts.where(F.col("fold") < how.n_splits)
         .withColumn("fold", F.explode(F.sequence(F.col("fold") + 1, F.lit(how.n_splits))))
@@ -190,7 +202,8 @@ def oof_target_encode(
             .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), fallback))
         )
     first = causal_target_means(
-        folded.where(F.col("fold") == 0), cols, label, prior, time_col, id_col, how, suffix, rows_per_task
+        folded.where(F.col("fold") == 0), cols, label, prior, time_col, id_col, how, suffix, rows_per_task,
+        counts.where(F.col("fold") == 0).drop("fold"),
     )
     return later.unionByName(first.select(*later.columns))
 

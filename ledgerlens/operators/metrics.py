@@ -102,8 +102,11 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score", th
     return ranks.join(cells, list(by)) if by else ranks.crossJoin(F.broadcast(cells))
 
 
-def threshold_grid(df: DataFrame, label: str = "label", score: str = "score", metric: str = "f1") -> DataFrame:
-    """Metric at each of the 99 thresholds 0.01 .. 0.99, from one scan.
+GRID_METRICS = ("f1", "precision", "recall")
+
+
+def threshold_grid(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """F1, precision and recall at each of the 99 thresholds 0.01 .. 0.99, from one scan.
 
     A score is placed once in the grid; reverse running sums over 100 cells do the rest.
     """
@@ -113,40 +116,45 @@ def threshold_grid(df: DataFrame, label: str = "label", score: str = "score", me
         splits=[-math.inf, *grid, math.inf], inputCol=score, outputCol="_cell", handleInvalid="skip"
     ).transform(df.select(label, F.col(score).cast("double").alias(score)))
     pos = F.col(label).cast("bigint")
-    cells = placed.groupBy(F.col("_cell").cast("int").alias("cell")).agg(
+    seen = placed.groupBy(F.col("_cell").cast("int").alias("cell")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")
     )
-    all_cells = df.sparkSession.range(1, 100).select(
-        F.col("id").cast("int").alias("cell"),
-        F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("id").cast("int")).alias("threshold"),
+    # Every cell once, also the empty ones; cell 0 lies below the grid.
+    empty = df.sparkSession.range(0, 100, 1, 1).select(
+        F.col("id").cast("int").alias("cell"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")
     )
-    below = cells.where("cell = 0").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("missed"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = (
-        all_cells.join(cells, "cell", "left")
-        .fillna(0, ["pos", "neg"])
-        .select("cell", "threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    cells = seen.unionByName(empty).groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    one = Window.partitionBy(F.lit(0))
+    down = one.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, fp, positives = F.sum("pos").over(down), F.sum("neg").over(down), F.sum("pos").over(one)
+    table = cells.select("cell", tp.alias("tp"), fp.alias("fp"), positives.alias("positives")).where("cell > 0")
+    return table.select(
+        F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("cell")).alias("threshold"),
+        F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives")), F.lit(0.0)).alias("f1"),
+        (F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).alias("precision"),
+        (F.col("tp") / F.greatest(F.col("positives"), F.lit(1))).alias("recall"),
     )
-    every = joined.agg(F.max("tp").alias("reached"))
-    full = joined.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(below))
-    positives = F.col("reached") + F.col("missed")
-    value = {
-        "precision": F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)),
-        "recall": F.col("tp") / F.greatest(positives, F.lit(1)),
-        "f1": F.coalesce(
-            F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + positives), F.lit(0.0)
-        ),
-    }[metric]
-    return full.select("threshold", value.alias("value"))
 
 
-def best_threshold(df: DataFrame, label: str = "label", score: str = "score", metric: str = "f1") -> DataFrame:
-    """First grid threshold with the best value, one row."""
-    grid = threshold_grid(df, label, score, metric)
-    return grid.agg(
-        F.min_by("threshold", F.struct(-F.col("value"), F.col("threshold"))).alias("threshold"),
-        F.max("value").alias("value"),
+def best_thresholds(
+    df: DataFrame, label: str = "label", score: str = "score", metrics: Sequence[str] = GRID_METRICS
+) -> DataFrame:
+    """Per metric the first grid threshold with the best value."""
+    best = threshold_grid(df, label, score).agg(
+        *[F.min(F.struct((-F.col(m)).alias("loss"), F.col("threshold"))).alias(m) for m in metrics]
     )
+    rows = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.col(f"{m}.threshold").alias("threshold"), (-F.col(f"{m}.loss")).alias("value"))
+            for m in metrics
+        ]
+    )
+    return best.select(F.inline(rows))
+
+
+def best_threshold(df: DataFrame, label: str = "label", score: str = "score", metric: str = "f1") -> DataFrame:
+    """First grid threshold with the best value of one metric, one row."""
+    return best_thresholds(df, label, score, [metric]).drop("metric")
 
 
 def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -52,10 +52,16 @@ class HotGroups:
 
 
 def find_hot_groups(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame,
+    keys: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    sizes: DataFrame | None = None,
 ) -> HotGroups | None:
-    """One counting pass (combined before its shuffle) for the groups too large for a task."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """One counting pass (combined before its shuffle) for the groups too large for a task.
+
+    ``sizes`` (keys and ``_n``) saves the pass where group sizes are known already.
+    """
+    counts = sizes if sizes is not None else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     limit = rows_per_task
     found = counts.where(F.col("_n") > limit).limit(MAX_HOT_GROUPS + 1).collect()
     if len(found) > MAX_HOT_GROUPS:
@@ -118,12 +124,13 @@ def slice_groups(
     order: str,
     id_col: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: DataFrame | None = None,
 ) -> Sliced:
     """Cut the groups that exceed ``rows_per_task`` into slices along ``order``."""
     keys = tuple(keys)
     if not keys:
         return _slice_all(df, order, id_col, rows_per_task)
-    hot = find_hot_groups(df, keys, rows_per_task)
+    hot = find_hot_groups(df, keys, rows_per_task, sizes)
     df = _with_tie(df, id_col)
     if hot is None:
         return Sliced(df.withColumn(SLICE, F.lit(0).cast("bigint")), keys, order, id_col, False)
@@ -185,6 +192,7 @@ def running_totals(
     values: dict[str, Column],
     id_col: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, the totals over the strictly earlier rows of its group.
 
@@ -192,7 +200,7 @@ def running_totals(
     the result must not depend on the order of addition.
     """
     named = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    sliced = slice_groups(named, keys, order, id_col, rows_per_task)
+    sliced = slice_groups(named, keys, order, id_col, rows_per_task, sizes)
     before = sliced.window().rowsBetween(Window.unboundedPreceding, -1)
     zero = {n: F.lit(0).cast(sliced.df.schema[f"_v_{n}"].dataType) for n in values}
     rows = sliced.df.select(

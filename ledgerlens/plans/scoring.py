@@ -20,8 +20,7 @@ from ledgerlens.plans.base import (
     tx,
     with_tx,
 )
-
-BY_EVENT = '"event_id"'
+from ledgerlens.session import widen
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +293,7 @@ _K = "CAST(risk_risk_score AS INT)"
     ),
 )
 def parse_metadata(spark, sf):
-    df = meta.parse_metadata(tx(spark, sf).select("event_id", _payload()))
+    df = meta.parse_metadata(widen(tx(spark, sf)).select("event_id", _payload()))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return df.select(
         "event_id",
@@ -318,7 +317,7 @@ def parse_metadata(spark, sf):
     ),
 )
 def flatten_metadata(spark, sf):
-    df = meta.parse_metadata(tx(spark, sf).select("event_id", _payload()))
+    df = meta.parse_metadata(widen(tx(spark, sf)).select("event_id", _payload()))
     flat = meta.flatten_metadata(df.where(~F.col("metadata_error")).drop("metadata_error"))
     return flat.select(
         "event_id", F.unix_micros("timestamp").alias("us"), "payment_method", "loc_city", "loc_country",
@@ -443,7 +442,7 @@ def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     broken = F.when(k % 19 == 5, F.concat(F.lit("{not json "), F.col("event_id"))).otherwise(line)
-    return tx(spark, sf).select(broken.alias("payload"), F.col("event_id").alias("source_id"))
+    return widen(tx(spark, sf)).select(broken.alias("payload"), F.col("event_id").alias("source_id"))
 
 
 _ERR = f"""CASE WHEN {_K} % 19 = 5 THEN 'payload: not JSON' ELSE array_to_string(list_filter([

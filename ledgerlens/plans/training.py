@@ -9,6 +9,7 @@ from ledgerlens.operators import encoding as enc
 from ledgerlens.operators import metrics as met
 from ledgerlens.operators import split as spl
 from ledgerlens.plans.base import query, rounded, tx, with_tx
+from ledgerlens.session import materialize
 
 LABEL = "isMoneyLaundering"
 Y = '"isMoneyLaundering"'
@@ -142,7 +143,7 @@ def rare_categories(spark, sf):
 def target_encode(spark, sf):
     df = coded(spark, sf)
     cols, prior = ["nk", "payment_method"], enc.label_mean(df, LABEL)
-    state = enc.fit_target_state(df, cols, LABEL, prior, TRAINING)
+    state = materialize(enc.fit_target_state(df, cols, LABEL, prior, TRAINING), "target-state")
     out = enc.apply_target_state(df, state, cols, prior, TRAINING)
     return rounded(out.select("event_id", "nk_enc", "payment_method_enc"))
 
@@ -377,12 +378,7 @@ GRID_SQL = f"""grid AS (SELECT t / 100.0::DOUBLE AS th FROM range(1, 100) r(t)),
     ),
 )
 def best_threshold_grid(spark, sf):
-    df = _scored(spark, sf)
-    parts = [
-        met.best_threshold(df, metric=m).select(F.lit(m).alias("metric"), "threshold", "value")
-        for m in ("f1", "precision", "recall")
-    ]
-    return rounded(enc.all_columns(parts))
+    return rounded(met.best_thresholds(_scored(spark, sf)))
 
 
 @query(
