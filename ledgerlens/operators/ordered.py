@@ -239,6 +239,37 @@ def row_rank(
     )
 
 
+def rows_at(
+    df: DataFrame,
+    order: str,
+    id_col: str,
+    positions: Sequence[int],
+    rows_per_task: int = ROWS_PER_TASK,
+) -> list[tuple]:
+    """(value, tie, id) of the rows at the given 0-based positions of the global order.
+
+    Ranks only the narrow (order, id) columns; with :func:`at_or_after` the table itself can then
+    be cut there without a shuffle.
+    """
+    ranked = row_rank(df.select(order, id_col), order, id_col, "_pos", rows_per_task)
+    found = (
+        ranked.where(F.col("_pos").isin(list(positions)))
+        .select("_pos", order, F.xxhash64(id_col).alias(TIE), id_col)
+        .orderBy("_pos")
+        .collect()  # one row per position
+    )
+    return [(r[order], r[TIE], r[id_col]) for r in found]
+
+
+def at_or_after(mark: tuple, order: Column, id_col: str) -> Column:
+    """Whether a row comes at or after a marked row in the global order."""
+    value, tie, row_id = mark
+    own_tie = F.xxhash64(id_col)
+    return (order > value) | (
+        (order == value) & ((own_tie > tie) | ((own_tie == tie) & (F.col(id_col) >= row_id)))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -106,11 +106,11 @@ def recent(df: DataFrame, time_col: str, tie: str, n: int = 10) -> DataFrame:
 def event_bundle(raw: DataFrame, predictions: DataFrame, features: DataFrame, alerts: DataFrame) -> DataFrame:
     """Everything known about each event; alerts newest first. A filter on the id pushes down.
 
-    All inputs hold one row per event except the alerts, whose number per event is the number of
-    policy versions.
+    All inputs hold one row per event (see :func:`latest_per_key`) except the alerts: of those an
+    event has one per policy version, and copies of an alert collapse before the shuffle.
     """
     per_event = alerts.groupBy("event_id").agg(
-        F.sort_array(F.collect_list(F.struct("created_at", "alert_id", "status", "verdict", "score")), asc=False).alias("alerts")
+        F.sort_array(F.collect_set(F.struct("created_at", "alert_id", "status", "verdict", "score")), asc=False).alias("alerts")
     )
     pred = predictions.select(
         "event_id", F.struct(*[c for c in predictions.columns if c != "event_id"]).alias("prediction")

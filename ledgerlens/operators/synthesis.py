@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.split import hashed_sample
+from ledgerlens.operators.ordered import at_or_after, rows_at
 
 SUSPICIOUS_RATIO = 0.2
 
@@ -23,11 +23,18 @@ def draw_rows(seed_df: DataFrame, id_col: str, count: int, seed: int = 42) -> Da
         raise ValueError("the seed table has no rows")
     times, rest = divmod(count, n)
     numbered = seed_df.withColumnRenamed(id_col, "seed_id")
-    extra = hashed_sample(numbered, "seed_id", rest, seed).withColumn("draw", F.lit(times).cast("bigint"))
-    if not times:
-        return extra
-    whole = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint"))))
-    return whole.unionByName(extra) if rest else whole
+    draws = F.lit(times)
+    if rest:
+        # One more draw for the first ``rest`` rows in hash order; the cut is a comparison.
+        order = F.xxhash64("seed_id", F.lit(seed))
+        slim = numbered.select(order.alias("_h"), "seed_id")
+        (cut,) = rows_at(slim, "_h", "seed_id", [rest])
+        draws = draws + (~at_or_after(cut, order, "seed_id")).cast("int")
+    spread = numbered.withColumn("_draws", draws).where(F.col("_draws") > 0)
+    return spread.select(
+        *numbered.columns,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_draws").cast("bigint") - 1)).alias("draw"),
+    )
 
 
 def synthesize_events(

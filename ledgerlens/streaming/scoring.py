@@ -15,7 +15,7 @@ from ledgerlens.operators.metadata import flatten_metadata
 from ledgerlens.operators.validation import typed_events, validate_events
 from ledgerlens.operators.velocity import velocity_state
 from ledgerlens.schema import MODEL_VERSION, Policy
-from ledgerlens.session import shared_dir
+from ledgerlens.session import materialize, shared_dir
 from ledgerlens.sources.sinks import fan_out
 from ledgerlens.streaming.state import velocity_stream
 
@@ -74,8 +74,12 @@ def decide(df: DataFrame, scorer: Scorer, policy: Policy, model_version: str = M
 
 
 def score_lines(lines: DataFrame, scorer: Scorer, policy: Policy = Policy(), rows_per_task: int | None = None) -> DataFrame:
-    """Batch form, for replays of any size: valid events with their outcome, rejects with errors."""
-    prepared = prepare_events(lines)
+    """Batch form, for replays of any size: valid events with their outcome, rejects with errors.
+
+    Lines are parsed once and written in columns: the state needs several passes (group sizes,
+    two keys, rejects), and each of them then reads only its columns.
+    """
+    prepared = materialize(prepare_events(lines), "events")
     good = prepared.where(F.size("errors") == 0)
     bad = prepared.where(F.size("errors") > 0)
     extra = {"rows_per_task": rows_per_task} if rows_per_task else {}
