@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import policy as pol
 from ledgerlens.operators import profiling as prof
 from ledgerlens.operators import records as rec
+from ledgerlens.operators.validation import split_valid
 from ledgerlens.plans.base import ALERTS_SQL, OUTCOME_SQL, query, rounded, tx, with_tx
-from ledgerlens.plans.scoring import outcomes
+from ledgerlens.plans.scoring import _ERR, outcomes, raw_lines
 from ledgerlens.schema import MODEL_VERSION, POLICY_VERSION, Policy
 
 LABEL = "isMoneyLaundering"
@@ -473,7 +474,7 @@ def p95_exclusive(spark, sf):
     with_tx(
         f"""SELECT (SELECT count(*) FROM tx) AS total_events, (SELECT count(*) FROM tx) AS total_predictions,
             (SELECT count(*) FROM ra WHERE status = 'OPEN') AS open_alerts,
-            (SELECT count(*) FROM tx WHERE CAST(risk_risk_score AS INT) % 19 = 5) AS dead_letter_events,
+            (SELECT count(*) FROM tx WHERE {_ERR} <> '') AS dead_letter_events,
             (SELECT round(avg(score), 6) FROM tx) AS average_score, (SELECT round(avg(latency_ms), 6) FROM tx) AS average_latency_ms,
             (SELECT round(p95, 6) FROM p95) AS p95_latency_ms,
             (SELECT string_agg(verdict || '=' || n, ',' ORDER BY verdict) FROM (SELECT {VERDICT_SQL} AS verdict, count(*) AS n FROM tx GROUP BY 1)) AS verdict_counts""",
@@ -483,7 +484,7 @@ def p95_exclusive(spark, sf):
 )
 def monitoring_summary(spark, sf):
     base = tx(spark, sf)
-    dead = base.where(F.col("risk_risk_score").cast("int") % 19 == 5)
+    _, dead = split_valid(raw_lines(spark, sf))
     out = rec.monitoring_summary(base, quick_predictions(spark, sf), resolved_alerts(spark, sf), dead)
     shown = F.array_join(
         F.transform(F.map_entries("verdict_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","

@@ -338,8 +338,8 @@ def recover_literals(spark, sf):
     """Rejected payloads: half of them use Python forms JSON lacks, half are garbage."""
     k = F.col("risk_risk_score").cast("int")
     odd = F.when(k % 2 == 0, F.lit("{'location': {'city': 'a' 'b'}, 'n': (1, 2)}")).otherwise(F.lit("{'a': garbage"))
-    df = tx(spark, sf).where(k % 29 == 3).select("event_id", odd.alias("metadata"))
-    bad = meta.parse_metadata(df.withColumn("raw", F.col("metadata"))).where("metadata_error")
+    lines = widen(tx(spark, sf)).select("event_id", F.when(k % 29 == 3, odd).otherwise(_payload()).alias("raw"))
+    bad = meta.parse_metadata(lines.withColumn("metadata", F.col("raw"))).where("metadata_error")
     out = meta.recover_literals(bad.select("event_id", F.col("raw").alias("metadata")))
     return out.select("event_id", F.col("metadata_json").isNotNull().alias("recovered"))
 
