@@ -92,11 +92,12 @@ def target_encoder_model(spark, sf):
            CASE WHEN type = 'view' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_card__type_view,
            CASE risk_category_risk WHEN 'high' THEN 0.0::DOUBLE WHEN 'low' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS orig__risk_category_risk,
            round(ln(m.v / (1 - m.v)), 6) AS "high_card__nameDest__enc", round(ln(r.v / (1 - r.v)), 6) AS high_card__risk_category_risk__enc
-           FROM tx t
-           JOIN (SELECT "nameDest", greatest((sum("isMoneyLaundering") + 20 * (SELECT avg("isMoneyLaundering") FROM tx)) / (count(*) + 20), 1e-6) AS v
-                 FROM tx GROUP BY 1) m USING ("nameDest")
+           FROM re t
+           JOIN (SELECT eff, greatest((sum("isMoneyLaundering") + 20 * (SELECT avg("isMoneyLaundering") FROM tx)) / (count(*) + 20), 1e-6) AS v
+                 FROM re GROUP BY 1) m USING (eff)
            JOIN (SELECT risk_category_risk, (sum("isMoneyLaundering") + 20 * (SELECT avg("isMoneyLaundering") FROM tx)) / (count(*) + 20) AS v
-                 FROM tx GROUP BY 1) r USING (risk_category_risk)"""
+                 FROM tx GROUP BY 1) r USING (risk_category_risk)""",
+        """re AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY "nameDest") < 20 THEN 'RARE' ELSE "nameDest" END AS eff FROM tx)""",
     ),
 )
 def encode_features(spark, sf):
