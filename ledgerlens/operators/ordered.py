@@ -2,8 +2,11 @@
 
 A window over ``partitionBy(key)`` puts a whole group into one task. Here groups larger than a
 task should hold are cut into slices along the order; each slice is scanned on its own and
-receives what the slices before it add up to. Order columns must not be null. The table of slices has at most
-``2 * rows / rows_per_task`` lines, which is what makes it safe to broadcast.
+receives what the slices before it add up to. Order columns must not be null.
+
+What is broadcast is bounded: at most ``MAX_HOT_GROUPS`` keys (if more groups are large, the load
+is even again and the limit rises), at most ``MAX_PLACES`` counts of their rows per bucket of the
+order, and one line per slice, of which a group has about ``rows / limit``.
 """
 
 from __future__ import annotations
@@ -16,14 +19,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import materialize
+
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_GROUPS = 50_000
-MAX_SLICES = 5_000
+# Bounds on what is kept about cut groups: their keys, buckets per group, and lines in all.
+MAX_HOT_GROUPS = 1_000
+MAX_BUCKETS = 20_000
+MAX_PLACES = 1_000_000
+_FIRST_LOOK = 1_000
 SLICE = "_slice"
 # Ties of the order are broken by the hash of the row id: a fixed order that can be cut into
 # ranges even if one value (say, a default timestamp) is carried by a third of all rows.
 TIE = "_tie"
-_SUB_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -47,6 +54,7 @@ class HotGroups:
     """Keys of the groups above the limit; there are at most ``MAX_HOT_GROUPS`` of them."""
 
     keys: DataFrame
+    groups: int
     rows: int
     limit: int
 
@@ -72,7 +80,7 @@ def find_hot_groups(
         return None
     schema = df.select(*keys).schema
     table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema)
-    return HotGroups(table, sum(r["_n"] for r in found), limit)
+    return HotGroups(table, len(found), sum(r["_n"] for r in found), limit)
 
 
 def same_keys(keys: Sequence[str], left: str = "a", right: str = "b") -> list[Column]:
@@ -91,33 +99,46 @@ def _cuts(quantiles: Sequence[float]) -> tuple[list[float], list[float]]:
     return sorted(borders), sorted(heavy)
 
 
-def _slice_by_value(df: DataFrame, order: str, id_col: str | None, quantiles, active: Column):
-    """Number the slices along ``order``; a value that repeats too often is cut by its id hash."""
+def _bucketed(df: DataFrame, order: str, id_col: str | None, quantiles: Sequence[float]) -> DataFrame:
+    """Add the bucket of the order value, and where in the bucket a row stands (0 unless all the
+    bucket's rows share one value: then it is the id hash as a fraction)."""
     borders, heavy = _cuts([float(q) for q in quantiles])
-    if not borders:
-        return df.withColumn(SLICE, F.when(active, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    splits = [-math.inf, *borders, math.inf]
-    numbered = Bucketizer(
-        splits=splits, inputCol="_order_value", outputCol="_bucket", handleInvalid="keep"
-    ).transform(df.withColumn("_order_value", F.col(order).cast("double")))
-    width = 1 << _SUB_BITS
-    sub = F.lit(0)
+    out = df.withColumn("_value", F.col(order).cast("double"))
+    if borders:
+        out = Bucketizer(
+            splits=[-math.inf, *borders, math.inf], inputCol="_value", outputCol="_bucket", handleInvalid="keep"
+        ).transform(out)
+    else:
+        out = out.withColumn("_bucket", F.lit(0.0))
+    within = F.lit(0.0)
     if heavy and id_col:
-        spread = F.shiftright(F.col(TIE), 64 - _SUB_BITS) + width // 2
-        sub = F.when(F.col("_order_value").isin(heavy), spread).otherwise(F.lit(0))
-    number = F.col("_bucket").cast("bigint") * width + sub + 1
-    return numbered.withColumn(
-        SLICE, F.when(active, number).otherwise(F.lit(0)).cast("bigint")
-    ).drop("_order_value", "_bucket")
+        fraction = (F.shiftright(TIE, 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
+        within = F.when(F.col("_value").isin(heavy), fraction).otherwise(within)
+    return out.withColumns({"_bucket": F.col("_bucket").cast("int"), "_within": within}).drop("_value")
 
 
-def _quantiles(df: DataFrame, order: str, slices: int) -> list[float]:
-    probs = [i / slices for i in range(1, slices)]
+def _quantiles(df: DataFrame, order: str, buckets: int) -> list[float]:
+    probs = [i / buckets for i in range(1, buckets)]
     value = F.col(order).cast("double")
-    row = df.agg(F.percentile_approx(value, probs, max(10_000, 10 * slices)).alias("q")).first()
+    row = df.agg(F.percentile_approx(value, probs, max(10_000, 10 * buckets)).alias("q")).first()
     return list(row["q"] or [])
 
 
+def _number_slices(bucketed: DataFrame, cut: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Slice number from a row's approximate position in its group; rows of other groups get 0.
+
+    ``cut`` are the rows of the groups to cut. What is broadcast is their (key, bucket) counts.
+    """
+    counts = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket")
+    before = F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    places = materialize(counts.withColumn("_before", F.coalesce(before, F.lit(0))), "places")
+    joined = bucketed.alias("a").join(F.broadcast(places.alias("b")), same_keys([*keys, "_bucket"]), "left")
+    position = F.col("b._before") + F.floor(F.col("a._within") * F.col("b._size"))
+    number = F.coalesce(F.floor(position / limit) + 1, F.lit(0)).cast("bigint")
+    return joined.select("a.*", number.alias(SLICE)).drop("_bucket", "_within")
+
+
 def slice_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -126,7 +147,10 @@ def slice_groups(
     rows_per_task: int = ROWS_PER_TASK,
     sizes: DataFrame | None = None,
 ) -> Sliced:
-    """Cut the groups that exceed ``rows_per_task`` into slices along ``order``."""
+    """Cut the groups that exceed ``rows_per_task`` into slices along ``order``.
+
+    Without keys the whole table is the group.
+    """
     keys = tuple(keys)
     if not keys:
         return _slice_all(df, order, id_col, rows_per_task)
@@ -134,16 +158,14 @@ def slice_groups(
     df = _with_tie(df, id_col)
     if hot is None:
         return Sliced(df.withColumn(SLICE, F.lit(0).cast("bigint")), keys, order, id_col, False)
-    slices = min(MAX_SLICES, max(2, math.ceil(hot.rows / hot.limit)))
-    flags = hot.keys.withColumn("_hot", F.lit(True))
-    marked = (
-        df.alias("a")
-        .join(F.broadcast(flags.alias("b")), same_keys(keys), "left")
-        .select("a.*", F.coalesce("b._hot", F.lit(False)).alias("_hot"))
-    )
-    quantiles = _quantiles(marked.where("_hot"), order, slices)
-    out = _slice_by_value(marked, order, id_col, quantiles, F.col("_hot")).drop("_hot")
-    return Sliced(out, keys, order, id_col, True)
+    hot_keys = F.broadcast(hot.keys.alias("b"))
+    allowed = min(MAX_BUCKETS, MAX_PLACES // hot.groups)
+    buckets = min(allowed, max(2, 4 * math.ceil(hot.rows / hot.limit)))
+    only_hot = lambda d: d.alias("a").join(hot_keys, same_keys(keys), "left_semi")
+    quantiles = _quantiles(only_hot(df.select(*keys, order)), order, buckets)
+    bucketed = _bucketed(df, order, id_col, quantiles)
+    cut = only_hot(bucketed.select(*keys, "_bucket"))
+    return Sliced(_number_slices(bucketed, cut, keys, hot.limit), keys, order, id_col, True)
 
 
 def _with_tie(df: DataFrame, id_col: str | None) -> DataFrame:
@@ -151,21 +173,20 @@ def _with_tie(df: DataFrame, id_col: str | None) -> DataFrame:
 
 
 def _slice_all(df: DataFrame, order: str, id_col: str | None, rows_per_task: int) -> Sliced:
-    """One global order: the whole table is cut, however it is distributed."""
-    probs = 256
+    """One global order: the table is cut if it has more rows than a task should hold."""
     value = F.col(order).cast("double")
+    probs = [i / _FIRST_LOOK for i in range(1, _FIRST_LOOK)]
     row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value, [i / probs for i in range(1, probs)], 10_000).alias("q"),
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, probs, 10_000).alias("q")
     ).first()
-    slices = min(MAX_SLICES, math.ceil((row["n"] or 0) / rows_per_task))
-    quantiles = list(row["q"] or [])
-    if slices > probs:
-        quantiles = _quantiles(df, order, slices)
-    elif slices <= 1:
-        quantiles = []
-    out = _slice_by_value(_with_tie(df, id_col), order, id_col, quantiles, F.lit(True))
-    return Sliced(out, (), order, id_col, slices > 1)
+    out = _with_tie(df, id_col)
+    if row["n"] <= rows_per_task:
+        return Sliced(out.withColumn(SLICE, F.lit(0).cast("bigint")), (), order, id_col, False)
+    limit = max(rows_per_task, math.ceil(row["n"] / MAX_BUCKETS))
+    buckets = min(MAX_BUCKETS, 4 * math.ceil(row["n"] / limit))
+    quantiles = row["q"] if buckets <= _FIRST_LOOK else _quantiles(df, order, buckets)
+    bucketed = _bucketed(out, order, id_col, quantiles)
+    return Sliced(_number_slices(bucketed, bucketed, (), limit), (), order, id_col, True)
 
 
 def carry(sliced: Sliced, table: DataFrame, rows: DataFrame) -> DataFrame:
