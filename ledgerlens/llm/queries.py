@@ -8,17 +8,52 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.bagminhash import near_duplicates
 from ledgerlens.llm.bpe import digests
 from ledgerlens.llm.common import UPPER, table
+from ledgerlens.llm.digest import compare_edited
 from ledgerlens.llm.exact import exact_duplicates
+from ledgerlens.llm.html import extract_pages
 from ledgerlens.llm.mixing import mix
+from ledgerlens.llm.notices import scan_notices
+from ledgerlens.llm.pseudonyms import pseudonymise
+from ledgerlens.llm.suffix_tree import score_texts
 from ledgerlens.llm.toxicity import score_toxicity
 from ledgerlens.session import prepare
 
 
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_pages(table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op2_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compare_edited(table(prepare(spark), sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(prepare(spark), sf_dir, "documents"))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(prepare(spark), sf_dir, "documents"))
     return out.select("doc_id", "class_id", "class_size", "kept")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymise(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    replaced = F.filter("values", lambda v: v["replaced"])
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(replaced, lambda v: v["kind"]))), ",")
+    return out.select(
+        "row.doc_id", "text", F.size("values").alias("n_found"), F.size(replaced).alias("n_replaced"), kinds.alias("kinds")
+    )
+
+
+def op6_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_notices(table(prepare(spark), sf_dir, "documents")).drop("spans")
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(prepare(spark), sf_dir, "documents"))
 
@@ -37,7 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bagminhash, op7_fair_mix, op8_hash_index, op9_word_bpe, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_blocks,
+        op2_improbable_digest,
+        op3_suffix_tree,
+        op4_bagminhash,
+        op5_pseudonyms,
+        op6_notices,
+        op7_fair_mix,
+        op8_hash_index,
+        op9_word_bpe,
+        op10_toxicity,
+    )
+}
 
 ORACLES = {
     "op8_hash_index": f"""
