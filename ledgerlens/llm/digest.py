@@ -32,6 +32,7 @@ HASHES = 5
 ROWS_PER_BUCKET = 500
 # Larger tables get longer buckets, not more: tasks read them as a stream.
 MAX_BUCKETS = 2_000
+TOGETHER = 500_000
 _ONE = 1 << 20
 # c * log2(c) as whole numbers: sums along a text then do not depend on where it starts.
 _PLOGP = np.array([0] + [round(c * np.log2(c) * _ONE) for c in range(1, WIDTH + 1)], dtype=np.int64)
@@ -60,17 +61,41 @@ def entropies(raw: np.ndarray) -> np.ndarray:
     return (STEPS * (6 * WIDTH * _ONE - spread)) // (6 * WIDTH * _ONE)
 
 
+def entropies_of(raws: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """``entropies`` of many texts: short ones are strung together, as a window's step only depends on it."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def steps() -> Iterator[np.ndarray]:
+        all_steps, at = entropies(np.concatenate(held)), 0
+        for raw in held:
+            yield all_steps[at : at + max(0, len(raw) - WIDTH + 1)]
+            at += len(raw)
+
+    for raw in raws:
+        held.append(raw)
+        size += len(raw)
+        if size > TOGETHER:
+            yield from steps()
+            held, size = [], 0
+    if held:
+        yield from steps()
+
+
+def _bytes(texts: list[str]) -> list[np.ndarray]:
+    return [np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8) for t in texts]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def features(raw: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Hashes of the selected windows in text order, neighbours with the same hash once."""
+def features(raw: np.ndarray, steps: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Hashes of the selected windows in text order, each hash once."""
     if not len(raw):
         return np.zeros(0, dtype=np.uint64)
-    steps = entropies(raw)
     wide = min(WIDTH, len(raw))
     if len(steps):
         key = (ranks[steps].astype(np.int64) << 32) | np.arange(len(steps))
@@ -92,9 +117,7 @@ def features(raw: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return h[np.sort(np.unique(h, return_index=True)[1])]
 
 
-def fingerprint(text: str, ranks: np.ndarray) -> np.ndarray:
-    """The chain of filters: one row of BITS booleans (packed) per filter, with its feature count."""
-    h = features(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), ranks)
+def _filters(h: np.ndarray) -> np.ndarray:
     filters = -(-len(h) // PER_FILTER)
     bits = np.zeros((filters, BITS), dtype=bool)
     row = np.arange(len(h)) // PER_FILTER
@@ -105,6 +128,16 @@ def fingerprint(text: str, ranks: np.ndarray) -> np.ndarray:
     return bits
 
 
+def fingerprint_many(texts: list[str], ranks: np.ndarray) -> list[np.ndarray]:
+    """The chain of filters of every text: one row of BITS booleans per filter."""
+    raws = _bytes(texts)
+    return [_filters(features(raw, steps, ranks)) for raw, steps in zip(raws, entropies_of(raws), strict=True)]
+
+
+def fingerprint(text: str, ranks: np.ndarray) -> np.ndarray:
+    return fingerprint_many([text], ranks)[0]
+
+
 def to_hex(bits: np.ndarray) -> str:
     return f"{len(bits)}:" + np.packbits(bits, axis=1).tobytes().hex()
 
@@ -135,8 +168,8 @@ def entropy_ranks(docs: DataFrame, text: str = "text") -> list[int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(STEPS + 1, dtype=np.int64)
         for batch in batches:
-            for t in batch["text"]:
-                total += np.bincount(entropies(np.frombuffer(t.encode(), dtype=np.uint8)), minlength=STEPS + 1)
+            for steps in entropies_of(_bytes(batch["text"].tolist())):
+                total += np.bincount(steps, minlength=STEPS + 1)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"step": used, "n": total[used]})
 
@@ -156,7 +189,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
 
     @F.pandas_udf("string")
     def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([to_hex(fingerprint(t, ranks)) for t in texts], dtype=object)
+        return pd.Series([to_hex(f) for f in fingerprint_many(texts.tolist(), ranks)], dtype=object)
 
     return docs.withColumn(out, made(whole(text)))
 
@@ -199,38 +232,31 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranks = np.array(entropy_ranks(docs))
 
-    def row(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray) -> dict:
-        half = len(text) // 2
-        edited = text[: len(text) - half] + following[:half]
-        changed = fingerprint(edited, ranks)
-        return {
-            "doc_id": doc_id,
-            "n_chars": len(text),
-            "edited": edited,
-            "fingerprint": to_hex(own),
-            "edited_fingerprint": to_hex(changed),
-            "near_edited": likeness(own, changed),
-            "near_next": likeness(own, other),
-        }
+    columns = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # the row that waits for the one after it
-        bucket_done = None
+        last = None  # the row that waits for the one after it: id, text, fingerprint
+        finished = None  # the bucket whose borrowed row has come
         for batch in batches:
-            out = []
-            for doc_id, text, bucket, extra in zip(
-                batch["doc_id"], batch["text"], batch["bucket"], batch["extra"], strict=True
+            own = fingerprint_many(batch["text"].tolist(), ranks)
+            pairs = []
+            for doc_id, text, bucket, extra, made in zip(
+                batch["doc_id"].tolist(), batch["text"], batch["bucket"], batch["extra"], own, strict=True
             ):
-                if bucket == bucket_done:
+                if bucket == finished:
                     continue  # more borrowed rows than needed
-                now = fingerprint(text, ranks)
                 if last is not None:
-                    out.append(row(last[0], last[1], last[2], text, now))
-                if extra:
-                    bucket_done, last = bucket, None
-                else:
-                    last = (doc_id, text, now)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                    half = len(last[1]) // 2
+                    pairs.append((*last, last[1][: len(last[1]) - half] + text[:half], made))
+                finished, last = (bucket, None) if extra else (finished, (doc_id, text, made))
+            changed = fingerprint_many([p[3] for p in pairs], ranks)
+            out = [
+                (i, len(text), edited, to_hex(mine), to_hex(new), likeness(mine, new), likeness(mine, following))
+                for (i, text, mine, edited, following), new in zip(pairs, changed, strict=True)
+            ]
+            frame = pd.DataFrame(out, columns=columns)
+            frame["doc_id"] = pd.array([None if pd.isna(p[0]) else int(p[0]) for p in pairs], dtype="Int64")
+            yield frame
 
     schema = (
         f"doc_id {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, "

@@ -34,11 +34,12 @@ DEPTH = 5
 MIN_SHARE = 1e-5
 # Divergence, in nats weighted by counts, that a context must bring per next symbol it stores.
 WORTH = 2.0
-HEAD_WORDS = 50_000
+HEAD_WORDS = 100_000
 HEAD_CHARS = 64
 HELD_OUT = (7, 2)
-_CHUNK = 2_000_000
-_FLUSH = 300_000
+_CHUNK = 1_000_000
+_FLUSH_WORDS = 150_000
+_FLUSH_GRAMS = 1_000_000
 END = 10  # no byte of a word
 _SPACES = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
 
@@ -48,14 +49,19 @@ def words_of(text: str) -> list[str]:
 
 
 def gram_codes(texts: list[list[str]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte of the texts with the ``depth`` bytes before it as one number, and where texts start."""
+    """Every byte of the texts after the ``depth`` bytes before it, as one number, and where texts start.
+
+    The context stands in the high bytes, the latest byte first, so that numbers in order have the
+    contexts of every length in order.
+    """
     pad = bytes([END]) * depth
     bodies = [" ".join(t).encode("utf-8", "surrogatepass") + bytes([END]) for t in texts]
     raw = np.frombuffer(b"".join([pad + b for b in bodies]), dtype=np.uint8)
     lengths = np.array([len(b) for b in bodies], dtype=np.int64)
     code = np.zeros(max(0, len(raw) - depth), dtype=np.int64)
-    for j in range(depth + 1):
-        code = (code << 8) | raw[j : len(raw) - depth + j]
+    for j in range(depth):
+        code = (code << 8) | raw[depth - 1 - j : len(raw) - 1 - j]
+    code = (code << 8) | raw[depth:]
     # The first `depth` places after a text belong to the next one's padding.
     starts = np.cumsum(np.concatenate([[0], lengths + depth]))[:-1]
     keep = np.ones(len(code), dtype=bool)
@@ -110,12 +116,12 @@ def corpus_counts(training: DataFrame) -> DataFrame:
                     tokens["\n"] += 1
                 parts.append(np.unique(gram_codes(chunk)[0], return_counts=True))
                 size += len(parts[-1][0])
-            if len(tokens) > _FLUSH:
+            if len(tokens) > _FLUSH_WORDS:
                 yield out_words()
-            if size > 4 * _FLUSH:
+            if size > _FLUSH_GRAMS:
                 parts[:] = [_summed(parts)]
                 size = len(parts[0][0])
-                if size > 2 * _FLUSH:
+                if 2 * size > _FLUSH_GRAMS:
                     yield out_grams()
                     size = 0
         if tokens:
@@ -131,7 +137,7 @@ class SuffixTree:
     """Sorted arrays per level: contexts with their totals and fan-out, and symbol counts."""
 
     def __init__(self, rows: pd.DataFrame, depth: int = DEPTH):
-        self.levels = []
+        self.depth, self.levels = depth, []
         for k in range(depth + 1):
             own = rows[rows["k"] == k].sort_values("gram")
             grams, n = own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
@@ -151,8 +157,9 @@ class SuffixTree:
         for k, (contexts, totals, fan, grams, n) in enumerate(self.levels):
             if not len(contexts):
                 continue
-            gram = codes & ((1 << 8 * (k + 1)) - 1)
-            at, known = self._find(contexts, gram >> 8)
+            context = codes >> 8 * (self.depth - k + 1)
+            gram = (context << 8) | (codes & 255)
+            at, known = self._find(contexts, context)
             where, seen = self._find(grams, gram)
             c = np.where(seen, n[where], 0.0)
             p = np.where(known, (c + fan[at] * p) / (totals[at] + fan[at]), p)
@@ -163,18 +170,21 @@ def fit_tree(counts: DataFrame, min_share: float = MIN_SHARE, worth: float = WOR
     """Contexts that pass the share and the divergence test; the tree's size is bounded by both."""
     grams = counts.where("gram IS NOT NULL").select("gram", "n")
     symbols = grams.agg(F.sum("n")).first()[0] or 0
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((1 << 8 * (k + 1)) - 1).alias("mask")) for k in range(depth + 1)])
-    every = grams.withColumn("level", F.explode(levels)).groupBy(
-        F.col("level.k").alias("k"), F.col("gram").bitwiseAND(F.col("level.mask")).alias("gram")
+    symbol = F.col("gram").bitwiseAND(F.lit(255))
+    levels = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), (F.shiftright("gram", 8 * (depth - k + 1)) * 256 + symbol).alias("gram"))
+            for k in range(depth + 1)
+        ]
     )
-    every = every.agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("gram", 8))
+    every = grams.select("n", F.explode(levels).alias("level")).groupBy("level.k", "level.gram").agg(F.sum("n").alias("n"))
+    every = every.withColumn("context", F.shiftright("gram", 8))
     totals = every.groupBy("k", "context").agg(F.sum("n").alias("total"))
     frequent = totals.where((F.col("k") == 0) | (F.col("total") >= symbols * min_share))
     states = materialize(every.join(frequent, ["k", "context"]), "states")
-    # The suffix of a context of k bytes drops its first byte.
-    drop_first = F.expr(" ".join(["CASE k", *[f"WHEN {k} THEN {(1 << 8 * k) - 1}L" for k in range(1, depth + 1)], "END"]))
+    # The suffix of a context drops its earliest byte, the lowest one.
     child = states.where("k > 0").select(
-        "k", "context", "n", "total", F.col("gram").bitwiseAND(drop_first).alias("suffix_gram"), (F.col("k") - 1).alias("below")
+        "k", "context", "n", "total", (F.shiftright("gram", 16) * 256 + symbol).alias("suffix_gram"), (F.col("k") - 1).alias("below")
     )
     parent = states.select(
         F.col("k").alias("below"), F.col("gram").alias("suffix_gram"), F.col("n").alias("pn"), F.col("total").alias("ptotal")
@@ -193,7 +203,7 @@ def fit_tree(counts: DataFrame, min_share: float = MIN_SHARE, worth: float = WOR
 
 def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id", (remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), lower_ascii(whole()).alias("text")
     )
@@ -218,7 +228,10 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
             for chunk in _chunks(batch["text"].tolist()):
                 codes, starts = gram_codes(chunk)
                 where, distinct_codes = pd.factorize(codes)
-                logs = np.add.reduceat(tree.log10(distinct_codes)[where], starts)
+                order = np.argsort(distinct_codes)
+                symbol_logs = np.empty(len(order))
+                symbol_logs[order] = tree.log10(distinct_codes[order])
+                logs = np.add.reduceat(symbol_logs[where], starts)
                 main, tail = [], {"row": [], "word": [], "times": []}
                 for t, log in zip(chunk, logs.tolist(), strict=True):
                     base, known = log_end, int(ends > 0)
@@ -238,7 +251,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 frame["known"] = frame["known"].astype("Int64")
                 out = pd.concat([frame, pd.DataFrame(tail)], ignore_index=True)
-                out[["held_out"]] = out[["held_out"]].astype("boolean")
+                out["held_out"] = out["held_out"].astype("boolean")
+                out["word"] = pd.Series([None] * len(main) + tail["word"], dtype=object)
                 yield out[["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]].astype(
                     {"row": "int64", "doc_id": "Int64", "n_tokens": "Int64", "known": "Int64", "times": "Int64"}
                 )
