@@ -34,6 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 STAR_ROUNDS = 2
+# A table of word hashes is emptied when it is full: it only saves time.
+KNOWN_WORDS = 50_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ _word_hashes: dict[str, int] = {}
 def bag(text: str, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a text (A-Z already lower-cased) and their counts."""
     known = _word_hashes
-    if len(known) > 400_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     hashes = []
     # Only these six signs are white space here.

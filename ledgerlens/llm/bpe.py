@@ -19,11 +19,10 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ledgerlens.llm.common import small_batches, whole
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 100_000
 # Fixed value: the split pattern of this vocabulary family; white space is the Unicode property.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -57,6 +56,10 @@ def piece_table(vocabulary: str) -> list[bytes]:
     return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
 
+def decoded_text(pieces: list[bytes], ids: np.ndarray) -> str:
+    return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+
 class WordTable:
     """Ids of distinct words, as the bytes of little-endian 32-bit integers."""
 
@@ -112,25 +115,33 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = piece_table(vocabulary)
         for batch in batches:
-            yield pd.Series(
-                [b"".join([pieces[i] for i in row.tolist()]).decode("utf-8", "replace") for row in batch], dtype=object
-            )
+            yield pd.Series([decoded_text(pieces, row) for row in batch], dtype=object)
 
     return df.withColumn(text, decoded(ids))
 
 
-@F.pandas_udf(StringType())
-def ids_digest(ids: pd.Series) -> pd.Series:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([hashlib.sha256(np.asarray(row, dtype="<u4").tobytes()).hexdigest() for row in ids], dtype=object)
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Encodes and decodes as ``encode`` and ``decode`` do, in one pass that only sends digests back.
+    """
+    small_batches(docs.sparkSession)
+    vocabulary = _read(path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, pieces = WordTable(vocabulary), piece_table(vocabulary)
+        for batch in batches:
+            ids = table.encode(list(batch["text"]))
+            texts = [decoded_text(pieces, np.frombuffer(b, dtype="<u4")) for b in ids]
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"],
+                    "n_tokens": [len(b) // 4 for b in ids],
+                    "ids_sha256": [hashlib.sha256(b).hexdigest() for b in ids],
+                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
+                }
+            )
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    done = decode(encode(docs.select("doc_id", "text"), path), path)
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        ids_digest("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    rows = docs.select("doc_id", whole().alias("text"))
+    return rows.mapInPandas(digested, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

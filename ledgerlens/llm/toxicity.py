@@ -27,6 +27,10 @@ from ledgerlens.session import materialize
 MAX_ROWS = 20_000
 HELD_OUT_MODULUS = 5
 NEAR = 5
+# A table of tokens is emptied when it is full: it only saves time.
+KNOWN_TOKENS = 50_000
+# A leaf of fewer rows would learn the noise of the labels.
+LEAF_ROWS = 10
 # How much of the score is the trees' own: it only orders texts with the same calibrated value.
 OWN_SHARE = 0.01
 
@@ -65,7 +69,7 @@ def _token_kind(token: str) -> tuple[int, str]:
             short = _RUNS.sub(r"\1", plain)
             hidden = next((w for w in (plain, short) if w in INSULTS), None)
             found = (2, hidden) if hidden else (4 if mixed else 0, bare)
-        if len(_known) > 300_000:
+        if len(_known) > KNOWN_TOKENS:
             _known.clear()
         _known[token] = found
     return found
@@ -177,8 +181,9 @@ def fit_toxicity(
     if len(counts) < 2 or fit.select("label").distinct().count() < 2 or not check.head(1):
         return ToxicityModel(constant=counts.get(1.0, 0) / total if total else 0.0)
     boosting = GBTClassifier(
-        featuresCol="_features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed
-    )
+        featuresCol="_features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3,
+        minInstancesPerNode=LEAF_ROWS, seed=seed,
+    )
     trees = boosting.setProbabilityCol("_p").fit(fit)
     scored = trees.transform(check).withColumn("_own", vector_to_array("_p")[1]).select("label", "_own")
     calibration = IsotonicRegression(featuresCol="_own", labelCol="label", predictionCol="_calibrated").fit(scored)
