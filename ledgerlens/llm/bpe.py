@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import small_batches, whole
 
-TABLE_WORDS = 100_000
+TABLE_WORDS = 200_000
+WORDS_PER_CALL = 1_000
 # Fixed value: the split pattern of this vocabulary family; white space is the Unicode property.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -83,13 +84,35 @@ class WordTable:
             out += [part] if i % 2 else self.split.findall(part)
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode words that are not in the table yet.
+
+        Words of a space and letters split again where they were joined, so many share one call;
+        the library says which word a token belongs to.
+        """
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        single = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+        for i in range(0, len(plain), WORDS_PER_CALL):
+            part = plain[i : i + WORDS_PER_CALL]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            owner = np.array(found.word_ids)
+            if owner[-1] + 1 != len(part):  # split elsewhere: one by one
+                single += part
+                continue
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
+            for word, a, b in zip(part, cuts, cuts[1:], strict=False):
+                self.ids[word] = raw[a:b]
+        for i in range(0, len(single), WORDS_PER_CALL):
+            part = single[i : i + WORDS_PER_CALL]
+            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.ids[word] = np.array(found.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
         if len(self.ids) > TABLE_WORDS:
             self.ids.clear()
-        new = list({w for words in split for w in words if w not in self.ids})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(found.ids, dtype="<u4").tobytes()
+        self._learn(list({w for words in split for w in words if w not in self.ids}))
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
