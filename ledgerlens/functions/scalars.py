@@ -66,14 +66,21 @@ def lenient_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def epoch_timestamp(c: Column) -> Column:
+    """Seconds since 1970, or milliseconds where the number is too large for seconds; null beyond year 9999."""
+    number = finite_or(c.try_cast("double"), float("inf"))
+    seconds = F.when(F.abs(number) > 2e10, number / 1000).otherwise(number)
+    return F.when(F.abs(seconds) < 253_402_300_800, seconds.try_cast("timestamp"))
+
+
 def wall_clock(iso: Column) -> Column:
     """Local time as written in an ISO string, its offset ignored."""
     return F.substring(F.regexp_replace(iso, "T", " "), 1, 19).try_cast("timestamp_ntz")
 
 
 def money(c: Column) -> Column:
-    """Exact form for sums that must not depend on the order of addition."""
-    return c.cast("decimal(24,6)")
+    """Exact form for sums that must not depend on the order of addition; null if it does not fit."""
+    return c.try_cast("decimal(24,6)")
 
 
 def json_payload(*cols: str | Column) -> Column:

@@ -346,7 +346,7 @@ def count_classes(df: DataFrame, label: str) -> tuple[int, int]:
     """(negatives, positives); no positives is an error."""
     row = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
     if not row["pos"]:
-        raise ValueError("no positive class; its weight is undefined")
+        raise ValueError(f"{label} has no positives to weigh")
     return row["neg"], row["pos"]
 
 

@@ -108,13 +108,16 @@ GRID_METRICS = ("f1", "precision", "recall")
 def threshold_grid(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """F1, precision and recall at each of the 99 thresholds 0.01 .. 0.99, from one scan.
 
-    A score is placed once in the grid; reverse running sums over 100 cells do the rest.
+    A score is placed once in the grid; reverse running sums over 100 cells do the rest. A missing
+    or NaN score is flagged at no threshold, but its label counts.
     """
+    value = F.col(score).cast("double")
+    value = F.when(value.isNull() | F.isnan(value), F.lit(-math.inf)).otherwise(value)
     step = (0.99 - 0.01) / 98
     grid = [0.01 + i * step for i in range(98)] + [0.99]
     placed = Bucketizer(
-        splits=[-math.inf, *grid, math.inf], inputCol=score, outputCol="_cell", handleInvalid="skip"
-    ).transform(df.select(label, F.col(score).cast("double").alias(score)))
+        splits=[-math.inf, *grid, math.inf], inputCol=score, outputCol="_cell"
+    ).transform(df.select(label, value.alias(score)))
     pos = F.col(label).cast("bigint")
     seen = placed.groupBy(F.col("_cell").cast("int").alias("cell")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")

@@ -93,9 +93,9 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], rows_per_task: int = RO
     """Count, mean, sample deviation, minimum, quartiles and maximum, one line per column."""
     from ledgerlens.operators.encoding import quantile_table
 
-    long = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-    )
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    df = df.select(*[number(c).alias(c) for c in cols])  # NaN is a missing value
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])))
     plain = long.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -104,7 +104,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], rows_per_task: int = RO
         F.max("value").alias("max"),
     )
     quartiles = quantile_table(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows_per_task)
-    return plain.join(quartiles, "column")
+    return plain.join(quartiles, "column", "left")
 
 
 def class_share(df: DataFrame, label: str) -> DataFrame:
@@ -178,7 +178,7 @@ def user_features(df: DataFrame, key: str = "nameOrig", rows_per_task: int = ROW
         F.countDistinct("device_type").alias("user_device_diversity"),
     )
     median = exact_quantiles(df, [key], "amount", {"user_amount_median": 0.5}, rows_per_task)
-    out = _attach(df, stats.join(median, key), key)
+    out = _attach(df, stats.join(median, key, "left"), key)
     return out.withColumn("amt_to_user_median", F.col("amount") / (F.col("user_amount_median") + 1e-3))
 
 

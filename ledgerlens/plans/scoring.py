@@ -20,7 +20,6 @@ from ledgerlens.plans.base import (
     tx,
     with_tx,
 )
-from ledgerlens.session import widen
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,7 +292,7 @@ _K = "CAST(risk_risk_score AS INT)"
     ),
 )
 def parse_metadata(spark, sf):
-    df = meta.parse_metadata(widen(tx(spark, sf)).select("event_id", _payload()))
+    df = meta.parse_metadata(tx(spark, sf).select("event_id", _payload()))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return df.select(
         "event_id",
@@ -317,7 +316,7 @@ def parse_metadata(spark, sf):
     ),
 )
 def flatten_metadata(spark, sf):
-    df = meta.parse_metadata(widen(tx(spark, sf)).select("event_id", _payload()))
+    df = meta.parse_metadata(tx(spark, sf).select("event_id", _payload()))
     flat = meta.flatten_metadata(df.where(~F.col("metadata_error")).drop("metadata_error"))
     return flat.select(
         "event_id", F.unix_micros("timestamp").alias("us"), "payment_method", "loc_city", "loc_country",
@@ -338,7 +337,7 @@ def recover_literals(spark, sf):
     """Rejected payloads: half of them use Python forms JSON lacks, half are garbage."""
     k = F.col("risk_risk_score").cast("int")
     odd = F.when(k % 2 == 0, F.lit("{'location': {'city': 'a' 'b'}, 'n': (1, 2)}")).otherwise(F.lit("{'a': garbage"))
-    lines = widen(tx(spark, sf)).select("event_id", F.when(k % 29 == 3, odd).otherwise(_payload()).alias("raw"))
+    lines = tx(spark, sf).select("event_id", F.when(k % 29 == 3, odd).otherwise(_payload()).alias("raw"))
     bad = meta.parse_metadata(lines.withColumn("metadata", F.col("raw"))).where("metadata_error")
     out = meta.recover_literals(bad.select("event_id", F.col("raw").alias("metadata")))
     return out.select("event_id", F.col("metadata_json").isNotNull().alias("recovered"))
@@ -442,7 +441,7 @@ def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     broken = F.when(k % 19 == 5, F.concat(F.lit("{not json "), F.col("event_id"))).otherwise(line)
-    return widen(tx(spark, sf)).select(broken.alias("payload"), F.col("event_id").alias("source_id"))
+    return tx(spark, sf).select(broken.alias("payload"), F.col("event_id").alias("source_id"))
 
 
 _ERR = f"""CASE WHEN {_K} % 19 = 5 THEN 'payload: not JSON' ELSE array_to_string(list_filter([

@@ -31,7 +31,7 @@ class Policy:
 
     def __post_init__(self) -> None:
         if self.review >= self.block:
-            raise ValueError("review threshold must be lower than block threshold")
+            raise ValueError(f"the block cut {self.block} has to lie above the review cut {self.review}")
 
 
 RAW_CSV = T.StructType(

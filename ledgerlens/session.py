@@ -60,12 +60,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before expensive work per row.
-
-    An input that already has a partition per core, as any large one does, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
