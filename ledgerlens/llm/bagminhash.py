@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from ledgerlens.llm.common import keep_rows, lower_ascii, small_batches, whole
+from ledgerlens.llm.common import WORD, keep_rows, lower_ascii, small_batches, whole
 from ledgerlens.session import materialize
 
 SHINGLE = 5
@@ -55,13 +55,11 @@ def bag(text: str, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     if len(known) > KNOWN_WORDS:
         known.clear()
     hashes = []
-    # Only these six signs are white space here.
-    for w in text.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" "):
-        if w:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            hashes.append(h)
+    for w in WORD.findall(text):
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w)
+        hashes.append(h)
     words = np.array(hashes, dtype=np.uint64)
     if not len(words):
         return words, np.zeros(0, dtype=np.int64)

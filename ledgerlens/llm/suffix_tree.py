@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii, remainder, small_batches, whole
+from ledgerlens.llm.common import WORD, lower_ascii, remainder, small_batches, whole
 from ledgerlens.session import materialize
 
 DEPTH = 5
@@ -41,11 +41,10 @@ _CHUNK = 1_000_000
 _FLUSH_WORDS = 150_000
 _FLUSH_GRAMS = 1_000_000
 END = 10  # no byte of a word
-_SPACES = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    return WORD.findall(text)
 
 
 def gram_codes(texts: list[list[str]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
