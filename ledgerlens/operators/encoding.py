@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import as_category, logit, smoothed_mean
@@ -330,16 +330,38 @@ def ordinal_codes(counts: list[tuple[str, int]], min_frequency: int = 50) -> dic
     return codes
 
 
-def ordinal_encode(df: DataFrame, codes: dict[str, dict[str, int]], prefix: str = "orig__") -> DataFrame:
-    """Fitted codes as a map expression; unknown values -1."""
-    new = {}
-    for c, code in codes.items():
-        if not code:
-            new[f"{prefix}{c}"] = F.lit(-1.0)
-            continue
-        table = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
-        new[f"{prefix}{c}"] = F.coalesce(F.try_element_at(table, F.col(c).cast("string")), F.lit(-1)).cast("double")
-    return df.withColumns(new)
+def ordinal_state(df: DataFrame, cols: Sequence[str], min_frequency: int = 50) -> DataFrame:
+    """State table ``(col, category, code)``, coded as :func:`ordinal_codes` does, for any number of values.
+
+    Frequent values are range-partitioned and numbered within a partition; a partition starts after
+    the values of those before it.
+    """
+    pairs = F.inline(
+        F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("category")) for c in cols])
+    )
+    counts = df.select(pairs).where(F.col("category").isNotNull()).groupBy("col", "category").agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.repartitionByRange("col", F.col("n") < min_frequency, "category")
+    counts = materialize(placed.withColumn("_part", F.spark_partition_id()), "category-counts")
+    frequent, rare = counts.where(F.col("n") >= min_frequency), counts.where(F.col("n") < min_frequency)
+    sizes = frequent.groupBy("col", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("col").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("col", "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("col", "_part").orderBy("category"))
+    own = frequent.withColumn("_nth", nth).join(starts, ["col", "_part"])
+    own = own.select("col", "category", (F.col("_start") + F.col("_nth") - 1).alias("code"))
+    last = sizes.groupBy("col").agg(F.sum("_size").alias("code"))
+    shared = rare.join(last, "col", "left").select("col", "category", F.coalesce("code", F.lit(0)).alias("code"))
+    return own.unionByName(shared)
+
+
+def ordinal_encode(df: DataFrame, state: DataFrame, cols: Sequence[str], prefix: str = "orig__") -> DataFrame:
+    """Codes by lookup in the state; unknown values -1. The size of the state decides how it is joined."""
+    out = df
+    for c in cols:
+        lookup = state.where(F.col("col") == c).select(F.col("category").alias("_cat"), F.col("code").alias("_code"))
+        out = out.join(lookup, F.col(c).cast("string") == F.col("_cat"), "left")
+        out = out.withColumn(f"{prefix}{c}", F.coalesce("_code", F.lit(-1)).cast("double")).drop("_cat", "_code")
+    return out
 
 
 def count_classes(df: DataFrame, label: str) -> tuple[int, int]:

@@ -1,12 +1,12 @@
 """Order-dependent totals that stay distributed when one group holds much of the data.
 
-A window over ``partitionBy(key)`` puts a whole group into one task. Here groups larger than a
-task should hold are cut into slices along the order; each slice is scanned on its own and
-receives what the slices before it add up to. Order columns must not be null.
+A window over ``partitionBy(key)`` puts a whole group into one task. Here the rows of groups larger
+than a task should hold are range-partitioned along (group, order) and written; every partition is a
+slice. A slice is scanned on its own and receives what the slices before it add up to. Order columns
+must not be null.
 
-What is broadcast is bounded: at most ``MAX_HOT_GROUPS`` keys (if more groups are large, the load
-is even again and the limit rises), at most ``MAX_PLACES`` counts of their rows per bucket of the
-order, and one line per slice, of which a group has about ``rows / limit``.
+No list of groups, borders or slices reaches the driver: they are tables, and a join with them is a
+broadcast only where the engine measures them as small.
 """
 
 from __future__ import annotations
@@ -15,18 +15,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
 
 ROWS_PER_TASK = 2_000_000
-# Bounds on what is kept about cut groups: their keys, buckets per group, and lines in all.
-MAX_HOT_GROUPS = 1_000
-MAX_BUCKETS = 20_000
-MAX_PLACES = 1_000_000
-_FIRST_LOOK = 1_000
 SLICE = "_slice"
 # Ties of the order are broken by the hash of the row id: a fixed order that can be cut into
 # ranges even if one value (say, a default timestamp) is carried by a third of all rows.
@@ -51,12 +45,10 @@ class Sliced:
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Keys of the groups above the limit; there are at most ``MAX_HOT_GROUPS`` of them."""
+    """Table of the keys of the groups above the limit, and how many rows they have together."""
 
     keys: DataFrame
-    groups: int
     rows: int
-    limit: int
 
 
 def find_hot_groups(
@@ -70,75 +62,15 @@ def find_hot_groups(
     ``sizes`` (keys and ``_n``) saves the pass where group sizes are known already.
     """
     counts = sizes if sizes is not None else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = rows_per_task
-    found = counts.where(F.col("_n") > limit).limit(MAX_HOT_GROUPS + 1).collect()
-    if len(found) > MAX_HOT_GROUPS:
-        # So many groups are big that the load is even again; only the biggest need cutting.
-        limit = counts.agg(F.sum("_n").alias("n")).first()["n"] // MAX_HOT_GROUPS
-        found = counts.where(F.col("_n") > limit).collect()
-    if not found:
-        return None
-    schema = df.select(*keys).schema
-    table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema)
-    return HotGroups(table, len(found), sum(r["_n"] for r in found), limit)
+    found = materialize(counts.where(F.col("_n") > rows_per_task).select(*keys, "_n"), "hot-groups")
+    rows = found.agg(F.sum("_n").alias("n")).first()["n"]
+    return HotGroups(found.drop("_n"), rows) if rows else None
 
 
 def same_keys(keys: Sequence[str], left: str = "a", right: str = "b") -> list[Column]:
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
-def _cuts(quantiles: Sequence[float]) -> tuple[list[float], list[float]]:
-    """Bucket borders from quantiles, and the values that hold more than one slice by themselves."""
-    seen: set[float] = set()
-    heavy: set[float] = set()
-    for q in quantiles:
-        (heavy if q in seen else seen).add(q)
-    borders = set(seen)
-    for v in heavy:
-        borders.add(math.nextafter(v, math.inf))
-    return sorted(borders), sorted(heavy)
-
-
-def _bucketed(df: DataFrame, order: str, id_col: str | None, quantiles: Sequence[float]) -> DataFrame:
-    """Add the bucket of the order value, and where in the bucket a row stands (0 unless all the
-    bucket's rows share one value: then it is the id hash as a fraction)."""
-    borders, heavy = _cuts([float(q) for q in quantiles])
-    out = df.withColumn("_value", F.col(order).cast("double"))
-    if borders:
-        out = Bucketizer(
-            splits=[-math.inf, *borders, math.inf], inputCol="_value", outputCol="_bucket", handleInvalid="keep"
-        ).transform(out)
-    else:
-        out = out.withColumn("_bucket", F.lit(0.0))
-    within = F.lit(0.0)
-    if heavy and id_col:
-        fraction = (F.shiftright(TIE, 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
-        within = F.when(F.col("_value").isin(heavy), fraction).otherwise(within)
-    return out.withColumns({"_bucket": F.col("_bucket").cast("int"), "_within": within}).drop("_value")
-
-
-def _quantiles(df: DataFrame, order: str, buckets: int) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    value = F.col(order).cast("double")
-    row = df.agg(F.percentile_approx(value, probs, max(10_000, 10 * buckets)).alias("q")).first()
-    return list(row["q"] or [])
-
-
-def _number_slices(bucketed: DataFrame, cut: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Slice number from a row's approximate position in its group; rows of other groups get 0.
-
-    ``cut`` are the rows of the groups to cut. What is broadcast is their (key, bucket) counts.
-    """
-    counts = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket")
-    before = F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    places = materialize(counts.withColumn("_before", F.coalesce(before, F.lit(0))), "places")
-    joined = bucketed.alias("a").join(F.broadcast(places.alias("b")), same_keys([*keys, "_bucket"]), "left")
-    position = F.col("b._before") + F.floor(F.col("a._within") * F.col("b._size"))
-    number = F.coalesce(F.floor(position / limit) + 1, F.lit(0)).cast("bigint")
-    return joined.select("a.*", number.alias(SLICE)).drop("_bucket", "_within")
-
-
 def slice_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -149,44 +81,29 @@ def slice_groups(
 ) -> Sliced:
     """Cut the groups that exceed ``rows_per_task`` into slices along ``order``.
 
-    Without keys the whole table is the group.
+    Without keys the whole table is the group. Slices aim at half of ``rows_per_task``, since range
+    borders come from a sample; the rows are written, so that a lost task finds the same slices.
     """
     keys = tuple(keys)
-    if not keys:
-        return _slice_all(df, order, id_col, rows_per_task)
-    hot = find_hot_groups(df, keys, rows_per_task, sizes)
-    df = _with_tie(df, id_col)
-    if hot is None:
-        return Sliced(df.withColumn(SLICE, F.lit(0).cast("bigint")), keys, order, id_col, False)
-    hot_keys = F.broadcast(hot.keys.alias("b"))
-    allowed = min(MAX_BUCKETS, MAX_PLACES // hot.groups)
-    buckets = min(allowed, max(2, 4 * math.ceil(hot.rows / hot.limit)))
-    only_hot = lambda d: d.alias("a").join(hot_keys, same_keys(keys), "left_semi")
-    quantiles = _quantiles(only_hot(df.select(*keys, order)), order, buckets)
-    bucketed = _bucketed(df, order, id_col, quantiles)
-    cut = only_hot(bucketed.select(*keys, "_bucket"))
-    return Sliced(_number_slices(bucketed, cut, keys, hot.limit), keys, order, id_col, True)
-
-
-def _with_tie(df: DataFrame, id_col: str | None) -> DataFrame:
-    return df.withColumn(TIE, F.xxhash64(F.col(id_col))) if id_col else df
-
-
-def _slice_all(df: DataFrame, order: str, id_col: str | None, rows_per_task: int) -> Sliced:
-    """One global order: the table is cut if it has more rows than a task should hold."""
-    value = F.col(order).cast("double")
-    probs = [i / _FIRST_LOOK for i in range(1, _FIRST_LOOK)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, probs, 10_000).alias("q")
-    ).first()
-    out = _with_tie(df, id_col)
-    if row["n"] <= rows_per_task:
-        return Sliced(out.withColumn(SLICE, F.lit(0).cast("bigint")), (), order, id_col, False)
-    limit = max(rows_per_task, math.ceil(row["n"] / MAX_BUCKETS))
-    buckets = min(MAX_BUCKETS, 4 * math.ceil(row["n"] / limit))
-    quantiles = row["q"] if buckets <= _FIRST_LOOK else _quantiles(df, order, buckets)
-    bucketed = _bucketed(out, order, id_col, quantiles)
-    return Sliced(_number_slices(bucketed, bucketed, (), limit), (), order, id_col, True)
+    tied = df.withColumn(TIE, F.xxhash64(F.col(id_col))) if id_col else df
+    whole = F.lit(0).cast("bigint")
+    if keys:
+        hot = find_hot_groups(df, keys, rows_per_task, sizes)
+        n = hot.rows if hot else 0
+    else:
+        n = df.count()
+    if n <= rows_per_task:
+        return Sliced(tied.withColumn(SLICE, whole), keys, order, id_col, False)
+    large = tied
+    if keys:
+        large = tied.alias("a").join(hot.keys.alias("b"), same_keys(keys), "left_semi")
+    along = [*keys, order, *([TIE, id_col] if id_col else [])]
+    ranged = large.repartitionByRange(math.ceil(2 * n / rows_per_task), *along)
+    cut = materialize(ranged.withColumn(SLICE, (F.spark_partition_id() + 1).cast("bigint")), "slices")
+    if keys:
+        rest = tied.alias("a").join(hot.keys.alias("b"), same_keys(keys), "left_anti")
+        cut = cut.unionByName(rest.withColumn(SLICE, whole))
+    return Sliced(cut, keys, order, id_col, True)
 
 
 def carry(sliced: Sliced, table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -195,7 +112,7 @@ def carry(sliced: Sliced, table: DataFrame, rows: DataFrame) -> DataFrame:
     extra = [c for c in table.columns if c not in (*sliced.keys, SLICE)]
     return (
         rows.alias("a")
-        .join(F.broadcast(table.alias("b")), same, "left")
+        .join(table.alias("b"), same, "left")
         .select("a.*", *[F.col(f"b.{c}") for c in extra])
     )
 

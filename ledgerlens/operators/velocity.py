@@ -210,7 +210,7 @@ def rolling_window(
     hot = find_hot_groups(df, [key], rows_per_task)
     if hot is None:
         return _rolling_by_range(timed, key, span, count_name, sum_name, df.columns)
-    hot_keys = F.broadcast(hot.keys.alias("b"))
+    hot_keys = hot.keys.alias("b")
     ordinary = timed.alias("a").join(hot_keys, same_keys([key]), "left_anti")
     large = timed.alias("a").join(hot_keys, same_keys([key]), "left_semi")
     # Even order values look, odd ones change the totals: a look at t sees what entered before t

@@ -78,20 +78,43 @@ def time_folds(spark, sf):
     return spl.time_folds(tx(spark, sf).select("event_id", "timestamp")).select("event_id", "fold")
 
 
-@query("group_split")
+def _hash_sql(seed: int, value: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}|' || {value}), 1, 15) AS BIGINT)"
+
+
+@query(
+    "group_split",
+    with_tx(
+        f"""SELECT CASE WHEN {_hash_sql(42, '"nameOrig"')} % 100 < 20 THEN 'test' ELSE 'train' END AS split,
+            count(DISTINCT "nameOrig") AS groups, count(*) AS n, round(avg({Y}), 6) AS positive_rate FROM tx GROUP BY 1"""
+    ),
+)
 def group_split(spark, sf):
     out = spl.group_split(tx(spark, sf))
-    return spl.group_split_report(out, "nameOrig", LABEL)
+    return rounded(spl.group_split_report(out, "nameOrig", LABEL))
 
 
-@query("hashed_sample")
+@query(
+    "hashed_sample",
+    with_tx(f"SELECT event_id, risk_risk_score, {Y} FROM tx ORDER BY {_hash_sql(42, 'event_id')}, event_id LIMIT 5000"),
+)
 def hashed_sample(spark, sf):
     return spl.hashed_sample(tx(spark, sf).select("event_id", "risk_risk_score", LABEL), "event_id", 5000)
 
 
-@query("sample_with_replacement")
+@query(
+    "sample_with_replacement",
+    with_tx(
+        """SELECT event_id, draw FROM draws JOIN placed USING (pos)""",
+        f"""placed AS (SELECT event_id, row_number() OVER (ORDER BY {_hash_sql(42, 'event_id')}) - 1 AS pos FROM tx)""",
+        f"""draws AS (SELECT draw, {_hash_sql(43, 'draw')} % n AS pos
+            FROM (SELECT n, unnest(range(2 * n)) AS draw FROM (SELECT count(*) AS n FROM tx)))""",
+    ),
+)
 def sample_with_replacement(spark, sf):
-    return spl.sample_with_replacement(tx(spark, sf).select("event_id"), "event_id", 2)
+    """Twice as many draws as there are events."""
+    events = tx(spark, sf).select("event_id")
+    return spl.sample_with_replacement(events, "event_id", 2 * events.count())
 
 
 def _state_sql(alpha: int = 50, logit: bool = False) -> str:
@@ -282,9 +305,8 @@ def one_hot(spark, sf):
 def ordinal_encode(spark, sf):
     """Merchants with at least 100 events get their own code, the others share the last one."""
     df = tx(spark, sf).select("event_id", F.col("nameDest").alias("merchant"))
-    counts = enc.category_lists(df, ["merchant"])
-    codes = {"merchant": enc.ordinal_codes(counts["merchant"], 100)}
-    return enc.ordinal_encode(df, codes).drop("merchant")
+    state = enc.ordinal_state(df, ["merchant"], 100)
+    return enc.ordinal_encode(df, state, ["merchant"]).drop("merchant")
 
 
 @query(

@@ -173,8 +173,12 @@ def test_later_labels_do_not_reach_back(spark, tx):
 def test_ordinal_and_one_hot(spark):
     codes = enc.ordinal_codes([("a", 50), ("b", 49), ("c", 60), ("d", 1)])
     assert codes == {"a": 0, "c": 1, "b": 2, "d": 2}
+    seen = spark.createDataFrame([("a",)] * 50 + [("b",)] * 49 + [("c",)] * 60 + [("d",), (None,)], "v string")
+    state = enc.ordinal_state(seen, ["v"])
+    assert {r["category"]: r["code"] for r in state.collect()} == codes
     df = spark.createDataFrame([("a",), ("b",), ("zz",), (None,)], "v string")
-    assert [r[0] for r in rows(enc.ordinal_encode(df, {"v": codes}), "orig__v")] == [0.0, 2.0, -1.0, -1.0]
+    got = {r["v"]: r["orig__v"] for r in enc.ordinal_encode(df, state, ["v"]).collect()}
+    assert got == {"a": 0.0, "b": 2.0, "zz": -1.0, None: -1.0}
     hot = enc.one_hot(df, {"v": ["a", "b"]})
     assert rows(hot, "low_card__v_a", "low_card__v_b") == [(1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (0.0, 0.0)]
     tie = spark.createDataFrame([("x",), ("w",), ("x",), ("w",), ("y",)], "v string")
@@ -311,9 +315,18 @@ def test_align_and_guard(spark):
 
 
 def test_sample_with_replacement(tx):
-    a = spl.sample_with_replacement(tx.select("event_id"), "event_id", 3)
-    assert a.dropDuplicates(["event_id", "draw"]).count() == a.count()
-    assert 2_700 < a.count() < 3_300
+    a = spl.sample_with_replacement(tx.select("event_id"), "event_id", 3_000)
+    assert a.select("draw").distinct().count() == a.count() == 3_000
+    assert 900 < a.select("event_id").distinct().count() < 1_000  # about 1 - exp(-3) of 1,000
+    assert spl.sample_with_replacement(tx.where("false").select("event_id"), "event_id", 5).count() == 0
+
+
+def test_ordinal_of_many_categories(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("v"))
+    codes = sorted(r["code"] for r in enc.ordinal_state(df, ["v"], 1).collect())
+    assert codes == list(range(30_000))
+    first = enc.ordinal_state(df, ["v"], 1).orderBy("category").limit(3).collect()
+    assert [r["code"] for r in first] == [0, 1, 2]
 
 
 def test_missing_file_is_reported(spark):

@@ -78,6 +78,15 @@ def test_hot_group_is_spread(hot):
     assert worst <= 100  # also the instant shared by a tenth of all rows is cut
 
 
+def test_more_than_a_thousand_large_groups(spark):
+    df = spark.range(1_050 * 14).select(F.col("id").alias("event_id"), (F.col("id") % 1_050).alias("k"), F.col("id").alias("us"))
+    sliced = slice_groups(df, ["k"], "us", "event_id", 12)
+    sizes = sliced.df.groupBy("k", "_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] < 24 and sizes.where("_slice = 0").count() == 0
+    got = running_totals(df, ["k"], "us", {"n": F.lit(1).cast("bigint")}, "event_id", 12)
+    assert got.where(F.col("n") != F.floor(F.col("event_id") / 1_050)).count() == 0
+
+
 def test_running_totals_one_group(hot):
     df = hot.withColumn("us", F.unix_micros("timestamp"))
     one = {"n": F.lit(1).cast("bigint")}
