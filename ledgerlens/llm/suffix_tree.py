@@ -1,18 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over bytes.
 
 A text is its words, A-Z lower-cased, joined by single spaces and closed by an end sign; every byte is
-predicted from up to ``DEPTH`` bytes before it (end signs before the first). The corpus is counted
-once: grams of the longest contexts, summed over all tasks, from which shorter contexts follow. A
-context stays in the tree if its share of all symbols is at least ``MIN_SHARE`` (so no level has more
-than 1 / MIN_SHARE contexts, whatever the corpus) and if the divergence of its next-symbol counts from
-those of its suffix is worth its size. Distributions are smoothed along the suffixes in the tree
-(Witten-Bell), down to an even one; the longest suffix state scores a symbol.
-
-The base is a unigram model over words. Frequent words are looked up in a table of bounded size on the
-spot, all others by a shuffled join with the counts of the whole corpus.
-
-Null text counts as empty: one token, the end. Without training rows every context is unknown.
-Rows that repeat are scored one by one. A null id counts as the empty text in the choice of fold.
+predicted from up to ``DEPTH`` bytes before it (end signs before the first), which reach over word
+borders. A unit is a word with the sign after it and the ``DEPTH`` bytes before it; a text is the sum
+of its units, so the corpus is counted as a table of distinct units, and their bytes as a table of
+distinct grams (context and symbol).
+
+A context stays in the tree if it occurs ``MIN_COUNT`` times and if the divergence of its next-symbol
+counts from those of its suffix is worth its size: an absolute count, so the tree grows with the
+corpus. Nothing holds the tree: it is a written table, cut into shards along the order of the contexts
+(latest byte first), each shard with the grams of its range and the contexts over them. Distributions
+are smoothed along the suffixes in the tree (Witten-Bell), down to an even one; the longest suffix
+state scores a symbol. The distinct grams are scored in their shards and joined back to the units, and
+the units to the texts. Only the most frequent units are looked up on the spot.
+
+The base is a unigram model over words. Null text counts as empty: one token, the end. Without training
+rows every context is unknown. Rows that repeat are scored one by one. A null id counts as the empty
+text in the choice of fold.
 """
 
 from __future__ import annotations
@@ -24,22 +28,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD, lower_ascii, remainder, small_batches, whole
 from ledgerlens.session import materialize
 
-DEPTH = 5
-MIN_SHARE = 1e-5
+DEPTH = 8
+# Bytes of a context in the first of the two numbers of a gram.
+HIGH = 8
+MIN_COUNT = 5
 # Divergence, in nats weighted by counts, that a context must bring per next symbol it stores.
 WORTH = 2.0
-HEAD_WORDS = 100_000
-HEAD_CHARS = 64
+HEAD_UNITS = 100_000
+HEAD_BYTES = 64
 HELD_OUT = (7, 2)
+SHARD_GRAMS = 400_000
+# Depth of the trees that one process holds: small corpora, with which the shards are compared.
+SMALL_DEPTH = 5
 _CHUNK = 1_000_000
-_FLUSH_WORDS = 150_000
-_FLUSH_GRAMS = 1_000_000
+_FLUSH_UNITS = 300_000
+_UNIT_BATCH = 20_000
 END = 10  # no byte of a word
 
 
@@ -47,7 +56,7 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text)
 
 
-def gram_codes(texts: list[list[str]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def gram_codes(texts: list[list[str]], depth: int = SMALL_DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Every byte of the texts after the ``depth`` bytes before it, as one number, and where texts start.
 
     The context stands in the high bytes, the latest byte first, so that numbers in order have the
@@ -82,60 +91,27 @@ def _chunks(texts: list[str]) -> Iterator[list[list[str]]]:
         yield held
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return codes, np.bincount(where, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-
 def corpus_counts(training: DataFrame) -> DataFrame:
-    """(word, gram, n) over all training texts: words have no gram, grams no word; written.
-
-    The end token is the word of one line feed, which no text holds.
-    """
+    """(gram, n) over all training texts, for a small tree."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens: Counter = Counter()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def out_words() -> pd.DataFrame:
-            rows = pd.DataFrame({"word": list(tokens), "gram": pd.array([None] * len(tokens), "Int64"), "n": list(tokens.values())})
-            tokens.clear()
-            return rows
-
-        def out_grams() -> pd.DataFrame:
-            codes, n = _summed(parts)
-            parts.clear()
-            return pd.DataFrame({"word": pd.Series([None] * len(codes), dtype=object), "gram": pd.array(codes, "Int64"), "n": n})
-
         for batch in batches:
             for chunk in _chunks(batch["text"].tolist()):
-                for t in chunk:
-                    tokens.update(t)
-                    tokens["\n"] += 1
-                parts.append(np.unique(gram_codes(chunk)[0], return_counts=True))
-                size += len(parts[-1][0])
-            if len(tokens) > _FLUSH_WORDS:
-                yield out_words()
-            if size > _FLUSH_GRAMS:
-                parts[:] = [_summed(parts)]
-                size = len(parts[0][0])
-                if 2 * size > _FLUSH_GRAMS:
-                    yield out_grams()
-                    size = 0
-        if tokens:
-            yield out_words()
-        if parts:
-            yield out_grams()
+                codes, n = np.unique(gram_codes(chunk)[0], return_counts=True)
+                yield pd.DataFrame({"gram": codes, "n": n})
+
+    return training.mapInPandas(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    found = training.mapInPandas(count, "word string, gram bigint, n bigint")
-    return materialize(found.groupBy("word", "gram").agg(F.sum("n").alias("n")), "corpus-counts")
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool)
 
 
 class SuffixTree:
-    """Sorted arrays per level: contexts with their totals and fan-out, and symbol counts."""
+    """A small tree as sorted arrays per level: contexts with their totals and fan-out, symbol counts."""
 
-    def __init__(self, rows: pd.DataFrame, depth: int = DEPTH):
+    def __init__(self, rows: pd.DataFrame, depth: int = SMALL_DEPTH):
         self.depth, self.levels = depth, []
         for k in range(depth + 1):
             own = rows[rows["k"] == k].sort_values("gram")
@@ -145,11 +121,6 @@ class SuffixTree:
             fan = np.diff(np.append(first, len(grams))).astype(np.float64)
             self.levels.append((contexts, totals, fan, grams, n))
 
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-        return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool)
-
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of every gram."""
         p = np.full(len(codes), 1 / 256)
@@ -158,16 +129,18 @@ class SuffixTree:
                 continue
             context = codes >> 8 * (self.depth - k + 1)
             gram = (context << 8) | (codes & 255)
-            at, known = self._find(contexts, context)
-            where, seen = self._find(grams, gram)
+            at, known = _find(contexts, context)
+            where, seen = _find(grams, gram)
             c = np.where(seen, n[where], 0.0)
             p = np.where(known, (c + fan[at] * p) / (totals[at] + fan[at]), p)
         return np.log10(p)
 
 
-def fit_tree(counts: DataFrame, min_share: float = MIN_SHARE, worth: float = WORTH, depth: int = DEPTH) -> SuffixTree:
-    """Contexts that pass the share and the divergence test; the tree's size is bounded by both."""
-    grams = counts.where("gram IS NOT NULL").select("gram", "n")
+def fit_tree(
+    counts: DataFrame, min_share: float = 0.0, worth: float = WORTH, depth: int = SMALL_DEPTH, min_count: int = MIN_COUNT
+) -> SuffixTree:
+    """A small tree, in this process: contexts that pass the count and the divergence test."""
+    grams = counts.select("gram", "n")
     symbols = grams.agg(F.sum("n")).first()[0] or 0
     symbol = F.col("gram").bitwiseAND(F.lit(255))
     levels = F.array(
@@ -179,7 +152,7 @@ def fit_tree(counts: DataFrame, min_share: float = MIN_SHARE, worth: float = WOR
     every = grams.select("n", F.explode(levels).alias("level")).groupBy("level.k", "level.gram").agg(F.sum("n").alias("n"))
     every = every.withColumn("context", F.shiftright("gram", 8))
     totals = every.groupBy("k", "context").agg(F.sum("n").alias("total"))
-    frequent = totals.where((F.col("k") == 0) | (F.col("total") >= symbols * min_share))
+    frequent = totals.where((F.col("k") == 0) | (F.col("total") >= max(min_count, symbols * min_share)))
     states = materialize(every.join(frequent, ["k", "context"]), "states")
     # The suffix of a context drops its earliest byte, the lowest one.
     child = states.where("k > 0").select(
@@ -200,49 +173,299 @@ def fit_tree(counts: DataFrame, min_share: float = MIN_SHARE, worth: float = WOR
     return SuffixTree(tree.select("k", "gram", "n", "total").toPandas(), depth)
 
 
-def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
+def units_of(words: list[str], depth: int = DEPTH) -> list[bytes]:
+    """The text's words, each with the ``depth`` bytes before it and the sign after it."""
+    body = " ".join(words).encode("utf-8", "surrogatepass")
+    raw = bytes([END]) * depth + body + bytes([END])
+    out, at = [], 0
+    for piece in body.split(b" "):
+        end = at + len(piece) + 1
+        out.append(raw[at : end + depth])
+        at = end
+    return out
+
+
+def unit_grams(units: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, hi, lo) per byte of the units after their context.
+
+    ``hi`` holds the latest ``HIGH`` bytes of the context, the latest first, ``lo`` the ones before and
+    the symbol last; pairs in order have the contexts of every length in order.
+    """
+    high = min(depth, HIGH)
+    lengths = np.array([len(u) for u in units], dtype=np.int64)
+    raw = np.frombuffer(b"".join(units), dtype=np.uint8).astype(np.int64)
+    owner = np.repeat(np.arange(len(units)), lengths - depth)
+    first = np.cumsum(lengths) - lengths + depth
+    before = np.cumsum(lengths - depth) - (lengths - depth)
+    at = np.arange(len(owner)) + np.repeat(first - before, lengths - depth)
+    hi, lo = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    for j in range(depth):
+        if j < high:
+            hi = (hi << 8) | raw[at - 1 - j]
+        else:
+            lo = (lo << 8) | raw[at - 1 - j]
+    return owner, hi, (lo << 8) | raw[at]
+
+
+def _at_level(hi: np.ndarray, lo: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers of the last ``k`` bytes of full contexts."""
+    high = min(depth, HIGH)
+    if k > high:
+        return hi, lo >> 8 * (depth - k + 1)
+    return (hi >> 8 * (high - k) if k else np.zeros_like(hi)), np.zeros_like(lo)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def count_units(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(uid, unit, n) of all texts; n counts the training texts only; written."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens: Counter = Counter()
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame({"unit": list(tokens), "n": list(tokens.values())})
+            tokens.clear()
+            return frame
+
+        for batch in batches:
+            for text, held in zip(batch["text"].tolist(), batch["held_out"].tolist(), strict=True):
+                units = units_of(words_of(text), depth)
+                if held:
+                    for u in units:
+                        tokens.setdefault(u, 0)
+                else:
+                    tokens.update(units)
+                if len(tokens) > _FLUSH_UNITS:
+                    yield out()
+        if tokens:
+            yield out()
+
+    found = rows.select("text", "held_out").mapInPandas(count, "unit binary, n bigint")
+    units = found.groupBy("unit").agg(F.sum("n").alias("n"))
+    return materialize(units.select(F.monotonically_increasing_id().alias("uid"), "unit", "n"), "units")
+
+
+def _slices(units: list[bytes]) -> Iterator[slice]:
+    start = size = 0
+    for i, u in enumerate(units):
+        size += len(u)
+        if size >= _CHUNK:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(units):
+        yield slice(start, len(units))
+
+
+def count_grams(units: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(hi, lo, n) of all distinct grams; written."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            all_units, n = batch["unit"].tolist(), batch["n"].to_numpy(np.int64)
+            for part in _slices(all_units):
+                owner, hi, lo = unit_grams(all_units[part], depth)
+                order = np.lexsort((lo, hi))
+                hi, lo = hi[order], lo[order]
+                starts = np.flatnonzero(_runs(hi, lo))
+                yield pd.DataFrame({"hi": hi[starts], "lo": lo[starts], "n": np.add.reduceat(n[part][owner[order]], starts)})
+
+    found = units.select("unit", "n").mapInPandas(count, "hi bigint, lo bigint, n bigint")
+    return materialize(found.groupBy("hi", "lo").agg(F.sum("n").alias("n")), "grams")
+
+
+def shard_bounds(grams: DataFrame, shard_grams: int = SHARD_GRAMS) -> list[int]:
+    """Fixed values of ``hi`` at which shards begin; one shard holds all grams of a ``hi``."""
+    n = grams.count()
+    shards = -(-n // shard_grams)
+    if shards < 2:
+        return []
+    drawn = grams.select("hi").sample(min(1.0, 50 * shards / n), seed=1).toPandas()["hi"].to_numpy(np.int64)
+    drawn.sort()
+    return sorted({int(drawn[i * len(drawn) // shards]) for i in range(1, shards)}) if len(drawn) else []
+
+
+def in_shards(grams: DataFrame, bounds: list[int]) -> DataFrame:
+    @F.pandas_udf("int")
+    def shard(hi: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(bounds, dtype=np.int64), hi.to_numpy(np.int64), side="right"))
+
+    return grams.withColumn("shard", shard("hi") if bounds else F.lit(0))
+
+
+LEVEL = "k int, hi bigint, lo bigint, symbol int, n bigint"
+
+
+def fit_levels(sharded: DataFrame, min_count: int = MIN_COUNT, worth: float = WORTH, depth: int = DEPTH) -> DataFrame:
+    """(k, hi, lo, symbol, n, total): the contexts that pass the count and the divergence test; written."""
+
+    def levels(own: pd.DataFrame) -> pd.DataFrame:
+        """Counts at all levels; contexts at either end of the shard may go on in the next one."""
+        own = own.sort_values(["hi", "lo"])
+        hi, lo, n = (own[c].to_numpy(np.int64) for c in ("hi", "lo", "n"))
+        symbol, out = lo & 255, []
+        for k in range(depth + 1):
+            high, low = _at_level(hi, lo, k, depth)
+            new = _runs(high, low)
+            run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            kept = np.add.reduceat(n, starts) >= min_count
+            kept[[0, -1]] = True
+            here = np.flatnonzero(kept[run])
+            keys, where = np.unique((run[here] << 8) | symbol[here], return_inverse=True)
+            at = starts[keys >> 8]
+            sums = np.bincount(where, weights=n[here]).astype(np.int64)
+            out.append(pd.DataFrame({"k": k, "hi": high[at], "lo": low[at], "symbol": keys & 255, "n": sums}))
+        return pd.concat(out, ignore_index=True)
+
+    found = sharded.where("n > 0").groupBy("shard").applyInPandas(levels, LEVEL)
+    context = ["k", "hi", "lo"]
+    every = found.repartition(*context).groupBy(*context, "symbol").agg(F.sum("n").alias("n"))
+    every = every.withColumn("total", F.sum("n").over(Window.partitionBy(*context)))
+    states = materialize(every.where((F.col("k") == 0) | (F.col("total") >= min_count)), "states")
+    # The suffix of a context drops its earliest byte, the lowest one.
+    high = min(depth, HIGH)
+    child = states.where("k > 0").select(
+        *context, "n", "total", "symbol", (F.col("k") - 1).alias("below"),
+        F.when(F.col("k") == 1, 0).when(F.col("k") <= high, F.shiftright("hi", 8)).otherwise(F.col("hi")).alias("shi"),
+        F.when(F.col("k") <= high, 0).otherwise(F.shiftright("lo", 8)).cast("bigint").alias("slo"),
+    )
+    parent = states.select(
+        F.col("k").alias("below"), F.col("hi").alias("shi"), F.col("lo").alias("slo"), "symbol",
+        F.col("n").alias("pn"), F.col("total").alias("ptotal"),
+    )
+    gain = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal")))
+    kept = (
+        child.join(parent, ["below", "shi", "slo", "symbol"])
+        .groupBy(*context)
+        .agg(F.sum(gain).alias("divergence"), F.count(F.lit(1)).alias("fan"))
+        .where(F.col("divergence") >= F.col("fan") * worth)
+        .select(*context)
+    )
+    tree = states.where("k = 0").unionByName(states.where("k > 0").join(kept, context, "left_semi"))
+    return materialize(tree, "tree")
+
+
+def score_grams(sharded: DataFrame, tree: DataFrame, bounds: list[int], depth: int = DEPTH) -> DataFrame:
+    """(hi, lo, log): log10 probability of the symbol of every distinct gram."""
+    high = min(depth, HIGH)
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every context in each shard that has grams of its range."""
+        edges = np.array(bounds, dtype=np.int64)
+        for rows in batches:
+            k, hi = rows["k"].to_numpy(np.int64), rows["hi"].to_numpy(np.int64)
+            shift = np.where(k < high, 8 * (high - k), 0)
+            shift[k == 0] = 0
+            low = hi << shift
+            first = np.searchsorted(edges, low, side="right")
+            last = np.searchsorted(edges, low | ((np.int64(1) << shift) - 1), side="right")
+            first[k == 0], last[k == 0] = 0, len(edges)
+            out = rows.loc[rows.index.repeat(last - first + 1)].reset_index(drop=True)
+            times = last - first + 1
+            out["shard"] = np.arange(len(out)) - np.repeat(np.cumsum(times) - times - first, times)
+            yield out
+
+    def score(states: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        hi, lo = own["hi"].to_numpy(np.int64), own["lo"].to_numpy(np.int64)
+        values = np.unique(hi)
+        p = np.full(len(own), 1 / 256)
+
+        def context(h: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+            return (np.searchsorted(values, h) << 32) | low if k > high else h
+
+        for k, level in states.groupby("k", sort=True):
+            ids = context(level["hi"].to_numpy(np.int64), level["lo"].to_numpy(np.int64), k)
+            contexts, first, at = np.unique(ids, return_index=True, return_inverse=True)
+            totals = level["total"].to_numpy(np.float64)[first]
+            fan = np.bincount(at).astype(np.float64)
+            keys = (at << 8) | level["symbol"].to_numpy(np.int64)
+            order = np.argsort(keys)
+            n = level["n"].to_numpy(np.float64)[order]
+            where, known = _find(contexts, context(*_at_level(hi, lo, k, depth), k))
+            place, seen = _find(keys[order], (where << 8) | (lo & 255))
+            c = np.where(known & seen, n[place], 0.0)
+            p = np.where(known, (c + fan[where] * p) / (totals[where] + fan[where]), p)
+        return pd.DataFrame({"hi": hi, "lo": lo, "log": np.log10(p)})
+
+    shards = tree.mapInPandas(cover, f"{LEVEL}, total bigint, shard int").groupBy("shard")
+    return shards.cogroup(sharded.groupBy("shard")).applyInPandas(score, "hi bigint, lo bigint, log double")
+
+
+def score_units(
+    units: DataFrame, min_count: int = MIN_COUNT, worth: float = WORTH, depth: int = DEPTH, shard_grams: int = SHARD_GRAMS
+) -> DataFrame:
+    """(uid, log): log10 probability of the bytes of every unit, by the tree of the training counts."""
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            all_units, uid = batch["unit"].tolist(), batch["uid"].to_numpy(np.int64)
+            for part in _slices(all_units):
+                owner, hi, lo = unit_grams(all_units[part], depth)
+                yield pd.DataFrame({"uid": uid[part][owner], "hi": hi, "lo": lo})
+
+    small_batches(units.sparkSession, _UNIT_BATCH)
+    grams = count_grams(units, depth)
+    bounds = shard_bounds(grams, shard_grams)
+    sharded = in_shards(grams, bounds)
+    logs = score_grams(sharded, fit_levels(sharded, min_count, worth, depth), bounds, depth)
+    spelled = units.select("uid", "unit").mapInPandas(spell, "uid bigint, hi bigint, lo bigint")
+    out = materialize(spelled.join(logs, ["hi", "lo"]).groupBy("uid").agg(F.sum("log").alias("log")), "unit-logs")
+    small_batches(units.sparkSession)
+    return out
+
+
+def score_texts(docs: DataFrame, head_units: int = HEAD_UNITS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     small_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id", (remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), lower_ascii(whole()).alias("text")
     )
-    counts = corpus_counts(rows.where("NOT held_out").select("text"))
-    vocabulary = counts.where("word IS NOT NULL").select("word", "n")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    whole_mass = total + distinct + 1
-    tree = fit_tree(counts)
-    short = vocabulary.where((F.length("word") <= HEAD_CHARS) & (F.col("word") != "\n"))
-    head = {r["word"]: r["n"] for r in short.orderBy(F.desc("n"), "word").limit(head_words).collect()}
-    ends = vocabulary.where(F.col("word") == "\n").agg(F.sum("n")).first()[0] or 0
-    log_mass, log_end = math.log10(whole_mass), math.log10((ends + 1) / whole_mass)
-    head_logs = {w: math.log10(n + 1) - log_mass for w, n in head.items()}
+    word = F.expr(f"substring(unit, {DEPTH + 1}, octet_length(unit) - {DEPTH + 1})")
+    units = count_units(rows).withColumn("word", word)
+    # The one unit of an empty text has no word; every text has one unit that ends it.
+    words = units.where("octet_length(word) > 0").groupBy("word").agg(F.sum("n").alias("word_n"))
+    words = materialize(words, "words")
+    known_words = words.where("word_n > 0")
+    in_words, distinct = known_words.agg(F.coalesce(F.sum("word_n"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = units.where(F.expr(f"substring(unit, -1, 1) = X'{END:02X}'")).agg(F.sum("n")).first()[0] or 0
+    total, mass = in_words + ends, in_words + ends + distinct + int(ends > 0) + 1
+    log_end = math.log10((ends + 1) / mass)
+    base = F.when(F.octet_length("word") > 0, F.log10((F.coalesce("word_n", F.lit(0)) + 1) / F.lit(float(mass)))).otherwise(0.0)
+    logs = units.join(score_units(units.select("uid", "unit", "n")), "uid").join(words, "word", "left")
+    logs = logs.select("unit", "n", "log", base.alias("base"), (F.coalesce("word_n", F.lit(0)) > 0).alias("known"))
+    logs = materialize(logs, "scored-units")
+    short = logs.where((F.octet_length("unit") <= HEAD_BYTES) & (F.col("n") > 0))
+    top = short.orderBy(F.desc("n"), "unit").limit(head_units).select("unit", "base", "log", "known").collect()
+    head = {bytes(r["unit"]): (r["base"], r["log"], int(r["known"])) for r in top}
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per document, and a row per document and word that is not among the frequent ones."""
+        """A row per document, and a row per document and unit that is not among the frequent ones."""
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, held = batch["doc_id"].tolist(), batch["held_out"].tolist()
             i = 0
             for chunk in _chunks(batch["text"].tolist()):
-                codes, starts = gram_codes(chunk)
-                where, distinct_codes = pd.factorize(codes)
-                order = np.argsort(distinct_codes)
-                symbol_logs = np.empty(len(order))
-                symbol_logs[order] = tree.log10(distinct_codes[order])
-                logs = np.add.reduceat(symbol_logs[where], starts)
-                main, tail = [], {"row": [], "word": [], "times": []}
-                for t, log in zip(chunk, logs.tolist(), strict=True):
-                    base, known = log_end, int(ends > 0)
-                    for w, times in Counter(t).items():
-                        found = head_logs.get(w)
+                main, tail = [], {"row": [], "unit": [], "times": []}
+                for t in chunk:
+                    base, log, known = log_end, 0.0, int(ends > 0)
+                    for u, times in Counter(units_of(t)).items():
+                        found = head.get(u)
                         if found is None:
                             tail["row"].append(row)
-                            tail["word"].append(w)
+                            tail["unit"].append(u)
                             tail["times"].append(times)
                         else:
-                            base += found * times
-                            known += times
+                            base += found[0] * times
+                            log += found[1] * times
+                            known += found[2] * times
                     main.append((row, ids[i], held[i], len(t) + 1, known, base, log))
                     row += 1
                     i += 1
@@ -251,20 +474,20 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
                 frame["known"] = frame["known"].astype("Int64")
                 out = pd.concat([frame, pd.DataFrame(tail)], ignore_index=True)
                 out["held_out"] = out["held_out"].astype("boolean")
-                out["word"] = pd.Series([None] * len(main) + tail["word"], dtype=object)
-                yield out[["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]].astype(
+                out["unit"] = pd.Series([None] * len(main) + tail["unit"], dtype=object)
+                yield out[["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "unit", "times"]].astype(
                     {"row": "int64", "doc_id": "Int64", "n_tokens": "Int64", "known": "Int64", "times": "Int64"}
                 )
 
-    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, word string, times bigint"
+    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, unit binary, times bigint"
     passed = materialize(rows.mapInPandas(scored, schema), "scores")
-    tail = passed.where("word IS NOT NULL").select("row", "word", "times")
-    tail = tail.join(vocabulary, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tail = passed.where("unit IS NOT NULL").select("row", "unit", "times").join(logs.select("unit", "log", "base", "known"), "unit")
     rare = tail.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(whole_mass)))).alias("rare_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.col("base")).alias("rare_base"),
+        F.sum(F.col("times") * F.col("log")).alias("rare_score"),
+        F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    main = passed.where("word IS NULL").join(rare, "row", "left")
+    main = passed.where("unit IS NULL").join(rare, "row", "left")
     return main.select(
         "doc_id",
         "held_out",
@@ -272,5 +495,5 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
