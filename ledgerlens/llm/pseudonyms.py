@@ -4,14 +4,19 @@ A value is found by its shape, validated, and replaced by a keyed permutation (a
 rounds with a keyed SHA-256) of its own domain, so its format stays, and equal values have equal
 pseudonyms in every document whatever separators they are written with:
 
-* card numbers (13 to 19 digits, Luhn-valid): all digits but the last are permuted, the check digit follows
-* phone numbers with country code, and North American ones: the digits after the country code
+* card numbers (13 to 19 digits, Luhn-valid): all digits but the last are permuted, the check digit follows.
+  In a run of numbers every part of 13 to 19 digits that begins and ends with a number is tested; where
+  valid parts overlap, 16 digits go before 15 and these before others, then the earlier one
+* phone numbers with country code, in groups, compact or with a long last group, and North American ones
+  in brackets, with dashes or dots: the digits after the country code
 * social security numbers with a valid area, group and serial: within the valid ones
 * IPv4 addresses: within all addresses
-* dates from 1900-01-01 to 2100-01-31 (year first, or day first with slashes or dots): within these days
+* dates from 1900-01-01 to 2100-01-31 (year first, also before a time, or day first with slashes or dots, or
+  month first with slashes where that is the only reading): within these days
 * mail addresses are no numbers: their local part becomes as many keyed letters
 
-What fails its validation is left as it is. Null text counts as empty. The key is a parameter; the
+Numbers without any sign of their kind (ten digits in a row, groups by blanks without a country code) are
+no phone numbers. What fails its validation is left as it is. Null text counts as empty. The key is a parameter; the
 default is for tests only. Everything is column expressions.
 """
 
@@ -30,14 +35,24 @@ FIRST_DAY = "1900-01-01"
 DAY_SIDES = (252, 290)  # 73,080 days
 
 # Shapes. Runs are possessive, so a long run is read once.
+_CODE = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 SHAPES = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)"
+    r"|(?<![\w+])\+\d{1,3}(?:[ .-]\d{1,2})(?:[ .-]\d{2}){4}(?!\d)"
+    r"|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?|\d{1,5}[ .-])\d{5,10}(?!\d)"
+    r"|(?<![\w+])\+\d{1,3}[ .-]\d{7,12}(?!\d)"
+    r"|(?<![\w+])\+\d{8,15}(?!\w)"
+    r"|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\w.+-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\w-])"
+    r"|(?<![\w.+-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w/-]|\.\d))|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d))",
 }
+# Numbers of 13 digits or more in all, up to where another value begins.
+_OTHER = "|".join(SHAPES[k] for k in ("phone", "ip", "ssn", "date"))
+SHAPES["card"] = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{_OTHER})\d++(?!\w))*+"
 
 
 def _keyed(key: str, label: str, turn: Column, value: Column, modulus: Column) -> Column:
@@ -132,8 +147,51 @@ def _card(key: str, value: Column) -> Column:
     return _then(_digits(value), checked)
 
 
+def _cards(key: str, value: Column) -> Column:
+    """Every valid card in a run of numbers, each part of 13 to 19 digits tested on the numbers' borders."""
+
+    def joined(numbers: Column, first: Column, last: Column) -> Column:
+        return F.array_join(F.slice(numbers, first, last - first + 1), "")
+
+    def best(numbers: Column, n: Column, i: Column) -> Column:
+        """(rank, last) of the best part that begins at number ``i``; null without one."""
+
+        def part(j: Column) -> Column:
+            def ranked(d: Column) -> Column:
+                valid = F.length(d).between(13, 19) & (F.regexp_replace(d, "0", "") != "")
+                valid = F.when(valid, F.pmod(_luhn_sum(d), F.lit(10)) == 0).otherwise(False)
+                rank = F.when(F.length(d) == 16, 0).when(F.length(d) == 15, 1).otherwise(2)
+                return F.when(valid, F.struct(rank.alias("rank"), j.alias("last")))
+
+            return _then(_digits(joined(numbers, i, j)), ranked)
+
+        return F.array_min(F.filter(F.transform(F.sequence(i, F.least(i + 18, n)), part), lambda x: x.isNotNull()))
+
+    def use(numbers: Column) -> Column:
+        n = F.size(numbers)
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
+
+        def replaced(parts: Column) -> Column:
+            def put(state: Column, i: Column) -> Column:
+                own = F.element_at(parts, i)
+                later = F.slice(parts, i + 1, F.coalesce(own["last"] - i, F.lit(0)))
+                chosen = own.isNotNull() & ~F.coalesce(F.exists(later, lambda x: F.coalesce(x["rank"] < own["rank"], F.lit(False))), F.lit(False))
+                new = F.when(chosen, _card(key, joined(numbers, i, own["last"]))).otherwise(F.element_at(numbers, i))
+                inside = i <= state["done"]
+                return F.struct(
+                    F.concat(state["out"], F.when(inside, F.lit("")).otherwise(new)).alias("out"),
+                    F.when(~inside & chosen, own["last"]).otherwise(state["done"]).alias("done"),
+                )
+
+            return F.aggregate(F.sequence(F.lit(1), n), start, put, lambda s: s["out"])
+
+        return _then(F.transform(F.sequence(F.lit(1), n), lambda i: best(numbers, n, i)), replaced)
+
+    return _then(F.regexp_extract_all(value, F.lit(r"[ -]?\d+"), F.lit(0)), use)
+
+
 def _phone(key: str, value: Column) -> Column:
-    code = F.regexp_extract(value, r"^(\+\d{1,3}[ .-]?)(?=\(|\d{2,4}[ .-])", 1)
+    code = F.regexp_extract(value, rf"^(?:{_CODE}[ .-]?|1[.-])", 0)
 
     def local(rest: Column) -> Column:
         return _into_shape(rest, _permute_digits(key, "phone", _digits(rest)))
@@ -176,7 +234,10 @@ def _ssn(key: str, value: Column) -> Column:
 
 def _date(key: str, value: Column) -> Column:
     is_iso = value.substr(5, 1) == "-"
-    iso = F.when(is_iso, value).otherwise(F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2)))
+    year, first, second = value.substr(7, 4), value.substr(1, 2), value.substr(4, 2)
+    day_first, month_first = F.concat_ws("-", year, second, first), F.concat_ws("-", year, first, second)
+    is_month_first = ~is_iso & day_first.try_cast("date").isNull() & (value.substr(3, 1) == "/")
+    iso = F.when(is_iso, value).when(is_month_first, month_first).otherwise(day_first)
     sides = [F.lit(x).cast("bigint") for x in DAY_SIDES]
 
     def use(day: Column) -> Column:
@@ -184,7 +245,12 @@ def _date(key: str, value: Column) -> Column:
         state = feistel(key, "date", F.floor(n / DAY_SIDES[1]), n % DAY_SIDES[1], *sides)
         new = _then(state, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAY_SIDES[1] + s["r"]).cast("int")))
         sign = value.substr(3, 1)
-        turned = lambda t: F.concat(t.substr(9, 2), sign, t.substr(6, 2), sign, t.substr(1, 4))
+
+        def turned(t: Column) -> Column:
+            day, month = t.substr(9, 2), t.substr(6, 2)
+            head = F.when(is_month_first, F.concat(month, sign, day)).otherwise(F.concat(day, sign, month))
+            return F.concat(head, sign, t.substr(1, 4))
+
         text = _then(new.cast("string"), lambda t: F.when(is_iso, t).otherwise(turned(t)))
         valid = day.isNotNull() & n.between(0, DAY_SIDES[0] * DAY_SIDES[1] - 1)
         return F.when(valid, text).otherwise(value)
@@ -199,7 +265,7 @@ def _mail(key: str, value: Column) -> Column:
     return F.concat(letters.substr(F.lit(1), F.length(local)), F.lit("@"), host)
 
 
-_MAKERS = {"mail": _mail, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card}
+_MAKERS = {"mail": _mail, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _cards}
 
 
 def pseudonymise(docs: DataFrame, key: str = TEST_KEY, text: str = "text") -> DataFrame:
