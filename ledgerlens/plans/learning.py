@@ -18,11 +18,7 @@ from ledgerlens.plans.training import DAYS, TRAINING, _state_sql, coded
 from ledgerlens.session import materialize, scratch_path
 
 LABEL = "isMoneyLaundering"
-PARAMS = {
-    "gbt": {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3},
-    "rf": {"numTrees": 8, "maxDepth": 5},
-    "lr": {"regParam": 1e-3, "maxIter": 50},
-}
+PARAMS = stk.DEFAULTS
 _COLS = (
     "event_id", "timestamp", "type", "category", "nameOrig", "nameDest", "amount", "oldbalanceOrg",
     "newbalanceOrig", "risk_risk_score", "risk_customer_risk_score", "risk_category_risk", LABEL,
@@ -124,19 +120,21 @@ def fit_base(spark, sf):
 
 @query("tune")
 def tune(spark, sf):
-    """A short random search; its trials with their validation PR-AUC."""
+    """A random search for every learner; its trials with their validation PR-AUC."""
     _, rows = prepared(spark, sf)
-    _, trials = stk.tune("lr", rows["train"], rows["val"], n_trials=4)
-    data = [(i, float(v), str(sorted(p.items()))) for i, v, p in trials]
-    return spark.createDataFrame(data, "trial int, pr_auc double, params string")
+    data = []
+    for name in stk.LEARNERS:
+        _, trials = stk.tune(name, rows["train"], rows["val"])
+        data += [(name, i, float(v), str(sorted(p.items()))) for i, v, p in trials]
+    return spark.createDataFrame(data, "model string, trial int, pr_auc double, params string")
 
 
 @query("oof_meta")
 def oof_meta(spark, sf):
     """Scores every training row gets from models that saw only earlier folds."""
     _, rows = prepared(spark, sf)
-    out = stk.oof_meta_features(rows["train"], {n: PARAMS[n] for n in ("rf", "lr")})
-    return out.select("event_id", "fold", "label", "rf_prob", "lr_prob")
+    out = stk.oof_meta_features(rows["train"], PARAMS)
+    return out.select("event_id", "fold", "label", *[f"{n}_prob" for n in PARAMS])
 
 
 @query("stack_score")
@@ -203,7 +201,7 @@ def permutation_importance(spark, sf):
     """Loss of accuracy on the test split when a feature is shuffled."""
     encoder, rows = prepared(spark, sf)
     model = stack(spark, sf).base["rf"]
-    return imp.permutation_importance(model, rows["test"], encoder.feature_names, repeats=1)
+    return imp.permutation_importance(model, rows["test"], encoder.feature_names)
 
 
 @query("meta_importance")
