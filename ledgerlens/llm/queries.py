@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.bagminhash import near_duplicates
 from ledgerlens.llm.bpe import digests
+from ledgerlens.llm.collocations import collocations
 from ledgerlens.llm.common import UPPER, table
 from ledgerlens.llm.digest import compare_edited
 from ledgerlens.llm.exact import exact_duplicates
 from ledgerlens.llm.html import extract_pages
 from ledgerlens.llm.mixing import mix
 from ledgerlens.llm.notices import scan_notices
+from ledgerlens.llm.pivots import near_vectors
 from ledgerlens.llm.pseudonyms import pseudonymise
+from ledgerlens.llm.spelling import spelling_variants
 from ledgerlens.llm.suffix_tree import score_texts
 from ledgerlens.llm.toxicity import score_toxicity
 from ledgerlens.session import prepare
@@ -72,6 +75,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_gram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(prepare(spark), sf_dir, "documents"))
+
+
+def op12_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +100,9 @@ QUERIES = {
         op8_hash_index,
         op9_word_bpe,
         op10_toxicity,
+        op11_gram_variants,
+        op12_pivot_index,
+        op13_collocations,
     )
 }
 
