@@ -7,10 +7,14 @@ two bags share the smallest point of a component with probability equal to their
 similarity. A process ends once its points come later than every component's smallest one.
 
 Signatures are banded. In a bucket every bag is compared with one hub, not with all others; links
-that were confirmed make groups, and only members of *different* groups in a bucket are looked at
-again, first against other hubs, in the end each against each. Every candidate pair is therefore
-either confirmed, refuted, or already in one group. A pair is confirmed by the exact weighted Jaccard
-similarity of the two bags. A pair of similarity 0.8 shares no band with probability 5e-5.
+that were confirmed make groups. Buckets that still mix groups are compared once more with other hubs;
+what is mixed after that goes through a prefix filter, which loses no pair: the occurrences of a bag
+(a shingle and its i-th repetition) are put in one order for all bags, about the rarest first, and two
+bags of similarity t share one of the first |b| - ceil(t |b|) + 1 of each. Of the members of an
+occurrence only those outside its largest group are set against the others, so neither a dense group
+nor a passage that many documents share is compared each with each. A pair is confirmed by the exact
+weighted Jaccard similarity of the two bags. A pair of similarity 0.8 shares no band with probability
+5e-5.
 
 Words are runs without ASCII white space, A-Z lower-cased. A text of one to four words is one
 shingle; texts without words are one group. Null text counts as empty. Equal bags form one group.
@@ -18,6 +22,7 @@ shingle; texts without words are one group. Null text counts as empty. Equal bag
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +30,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import DoubleType
 
+from ledgerlens.llm.bloom import bloom_filter, may_hold
 from ledgerlens.llm.common import WORD, keep_rows, lower_ascii, small_batches, whole
 from ledgerlens.session import materialize
 
@@ -36,6 +42,10 @@ BANDS, ROWS = 25, 5
 STAR_ROUNDS = 2
 # A table of word hashes is emptied when it is full: it only saves time.
 KNOWN_WORDS = 50_000
+# Texts a packing task remembers, so that it does not send copies more than once; a full table is emptied.
+KNOWN_TEXTS = 100_000
+# Slots in which occurrences are counted for their order.
+SLOT_BITS = 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,9 +162,34 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-@F.pandas_udf(BinaryType())
-def packed_bag(texts: pd.Series) -> pd.Series:
-    return pd.Series([_pack(bag(t)) for t in texts], dtype=object)
+def occurrences(b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A number for every shingle of the bag and each of its repetitions."""
+    first = np.cumsum(b[1]) - b[1]
+    nth = (np.arange(int(b[1].sum())) - np.repeat(first, b[1])).astype(np.uint64)
+    return _mix(np.repeat(b[0], b[1]) + nth * _GOLDEN)
+
+
+def prefix_length(size: int, threshold: float) -> int:
+    """How many of its first occurrences a bag must be met by."""
+    return size - math.ceil(threshold * size - 1e-9) + 1 if size else 0
+
+
+def pack_members(rows: DataFrame, digests) -> DataFrame:
+    """(bag, packed) of the texts whose digest is in the filter, each bag once."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[int] = set()
+        for batch in batches:
+            held = may_hold(digests.value, batch["digest"].to_numpy(np.int64).view(np.uint64))
+            own = batch[held]
+            own = own[~own["digest"].isin(known)].drop_duplicates("digest")
+            if len(known) > KNOWN_TEXTS:
+                known.clear()
+            known.update(own["digest"].tolist())
+            bags = [bag(t) for t in own["text"]]
+            yield pd.DataFrame({"bag": [bag_digest(b) for b in bags], "packed": [_pack(b) for b in bags]})
+
+    return rows.select("digest", "text").mapInPandas(pack, "bag string, packed binary").dropDuplicates(["bag"])
 
 
 @F.pandas_udf(DoubleType())
@@ -188,24 +223,61 @@ def components(links: DataFrame, node: str = "bag", label: str = "group") -> Dat
         edges = materialize(out.distinct(), "edges")
 
 
-def _candidates(buckets: DataFrame, groups: DataFrame | None, turn: int | None) -> DataFrame:
-    """Pairs (a, b) of a bucket whose groups differ: all of them, or those with the hub of this turn."""
-    rows = buckets
-    if groups is not None:
-        rows = rows.join(groups, "bag", "left").withColumn("group", F.coalesce("group", "bag"))
-        mixed = rows.groupBy("band").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
-        rows = rows.join(mixed.select("band"), "band", "left_semi")
-    else:
-        rows = rows.withColumn("group", F.col("bag"))
-    if turn is None:
-        other = rows.select("band", F.col("bag").alias("b"), F.col("group").alias("other"))
-        pairs = rows.withColumnRenamed("bag", "a").join(other, "band").where("a < b AND `group` <> other")
-    else:
-        rank = F.col("bag") if turn == 0 else F.md5(F.concat(F.lit(str(turn)), F.col("bag")))
-        hubs = rows.groupBy("band").agg(F.min(F.struct(rank.alias("r"), F.col("bag"), F.col("group"))).alias("h"))
-        hubs = hubs.select("band", F.col("h.bag").alias("b"), F.col("h.group").alias("other"))
-        pairs = rows.withColumnRenamed("bag", "a").join(hubs, "band").where("`group` <> other")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _mixed(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(band, bag, group) of the buckets with more than one group."""
+    if groups is None:
+        return buckets.withColumn("group", F.col("bag"))
+    rows = buckets.join(groups, "bag", "left").withColumn("group", F.coalesce("group", "bag"))
+    mixed = rows.groupBy("band").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
+    return rows.join(mixed.select("band"), "band", "left_semi")
+
+
+def _ordered(a: str = "a", b: str = "b") -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bag and the hub of its bucket, if their groups differ."""
+    rank = F.col("bag") if turn == 0 else F.md5(F.concat(F.lit(str(turn)), F.col("bag")))
+    hubs = rows.groupBy("band").agg(F.min(F.struct(rank.alias("r"), F.col("bag"), F.col("group"))).alias("h"))
+    hubs = hubs.select("band", F.col("h.bag").alias("b"), F.col("h.group").alias("other"))
+    pairs = rows.withColumnRenamed("bag", "a").join(hubs, "band").where("`group` <> other")
+    return pairs.select(*_ordered()).distinct()
+
+
+def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of ``bags`` (bag, group, packed) of different groups that pass the prefix filter."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [occurrences(_unpack(p)) for p in batch["packed"]]
+            if found:
+                slots, n = np.unique(np.concatenate(found) >> np.uint64(64 - SLOT_BITS), return_counts=True)
+                yield pd.DataFrame({"slot": slots.astype(np.int64), "n": n})
+
+    counted = bags.mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    often[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    order = bags.sparkSession.sparkContext.broadcast(often)
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b, group, packed in zip(batch["bag"], batch["group"], batch["packed"], strict=True):
+                own = occurrences(_unpack(packed))
+                times = order.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                first = own[np.lexsort((own, times))][: prefix_length(len(own), threshold)]
+                yield pd.DataFrame({"occurrence": first.view(np.int64), "bag": b, "group": group, "size": len(own)})
+
+    rows = materialize(bags.mapInPandas(prefix, "occurrence bigint, bag string, group string, size bigint"), "prefixes")
+    sizes = rows.groupBy("occurrence", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("occurrence")
+    shared = sizes.agg(F.max_by("group", "n").alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    rows = rows.join(shared.select("occurrence", "largest"), "occurrence")
+    left = rows.select("occurrence", F.col("bag").alias("a"), F.col("group").alias("own"), F.col("size").alias("m"))
+    right = rows.where("`group` <> largest").select(
+        "occurrence", F.col("bag").alias("b"), F.col("group").alias("other"), F.col("size").alias("n")
+    )
+    alike = (F.least("m", "n") >= F.greatest("m", "n") * (threshold - 1e-9)) & (F.col("own") != F.col("other"))
+    return left.join(right, "occurrence").where(alike).select(*_ordered()).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -225,17 +297,20 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     places = one.select("bag", F.explode("bands").alias("band"))
     shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(places.join(shared.select("band"), "band", "left_semi"), "buckets")
-    members = one.join(buckets.select("bag").distinct(), "bag", "left_semi").select("bag", "digest")
+    members = one.join(buckets.select("bag").distinct(), "bag", "left_semi")
     # The bags themselves are made once more, only for the texts that share a bucket.
-    texts = rows.select("digest", "text").join(members, "digest").dropDuplicates(["bag"])
-    stored = materialize(texts.select("bag", packed_bag("text").alias("packed")), "packed-bags")
+    digests = docs.sparkSession.sparkContext.broadcast(bloom_filter(members, "digest"))
+    stored = materialize(pack_members(rows, digests), "packed-bags")
     groups, links = None, None
     for turn in [*range(STAR_ROUNDS), None]:
-        pairs = materialize(_candidates(buckets, groups, turn), "pairs")
-        if not pairs.head(1):
-            if turn == 0:
-                break
-            continue
+        mixed = materialize(_mixed(buckets, groups), "mixed-buckets")
+        if not mixed.head(1):
+            break
+        if turn is None:
+            found = prefix_pairs(stored.join(mixed.select("bag", "group").distinct(), "bag"), threshold)
+        else:
+            found = hub_pairs(mixed, turn)
+        pairs = materialize(found, "pairs")
         left = stored.select(F.col("bag").alias("a"), F.col("packed").alias("x"))
         right = stored.select(F.col("bag").alias("b"), F.col("packed").alias("y"))
         close = pairs.join(left, "a").join(right, "b").where(bag_similarity("x", "y") >= threshold).select("a", "b")
