@@ -51,10 +51,10 @@ _TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
 _BETWEEN = re.compile(r"[\x20\x09.,;:!?\x0A-\x0D]+")
 _BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
 _SEED = 42
-_FLUSH_WORDS = 300_000
-_KNOWN_CODES = 300_000
+_FLUSH_WORDS = 200_000
+_KNOWN_CODES = 100_000
 _ROW = 8_192
-_CHUNK = 2_000_000
+_CHUNK = 400_000
 
 
 def _code(lang: str, word: str) -> int:
