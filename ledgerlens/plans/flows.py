@@ -105,14 +105,19 @@ def stream_source(spark, sf):
 
 @query(
     "topic_payloads",
-    with_tx("SELECT event_id AS key, verdict, len(reason_codes) AS n_reasons FROM outcome", OUTCOME_SQL),
+    with_tx(
+        """SELECT event_id AS key, event_id, round(score, 6) AS score, verdict,
+           array_to_string(reason_codes, ',') AS reason_codes FROM outcome""",
+        OUTCOME_SQL,
+    ),
 )
 def topic_payloads(spark, sf):
     """Messages as published, decoded again."""
     df = outcomes(spark, sf).select("event_id", "score", "verdict", "reason_codes")
     messages = sinks.topic_payloads(df)
     body = F.from_json("value", df.schema)
-    return messages.select("key", body.alias("v")).select("key", "v.verdict", F.size("v.reason_codes").cast("bigint").alias("n_reasons"))
+    decoded = messages.select("key", body.alias("v")).select("key", "v.*")
+    return rounded(decoded.withColumn("reason_codes", F.array_join("reason_codes", ",")))
 
 
 OK_SQL = f"""ok AS (SELECT * REPLACE (CASE WHEN {_K} % 7 = 0 THEN 12.5 ELSE amount END AS amount,
@@ -188,15 +193,18 @@ def fanout(spark, sf):
 
 @query(
     "append_log",
-    with_tx("SELECT strftime(ts, '%Y-%m-%d') AS log_date, count(*) AS n FROM tx WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1"),
+    with_tx(
+        """SELECT strftime(ts, '%Y-%m-%d') AS log_date, event_id, round(score, 6) AS score,
+           CASE WHEN score >= 0.9 THEN 'BLOCK' WHEN score >= 0.65 THEN 'REVIEW' ELSE 'CLEAR' END AS verdict FROM tx"""
+    ),
 )
 def append_log(spark, sf):
-    """Daily prediction log; a range of days reads only those folders."""
+    """Daily prediction log, read back whole."""
     path = scratch_path(spark, "prediction-log")
     df = pol.apply_policy(tx(spark, sf)).select(F.col("timestamp").alias("logged_at"), "event_id", "score", "verdict")
     sinks.append_log(df, path, order="event_id")
-    log = sinks.read_table(spark, path).where(F.col("log_date") >= F.lit("2024-01-20").cast("date"))
-    return log.groupBy(F.col("log_date").cast("string").alias("log_date")).agg(F.count(F.lit(1)).alias("n"))
+    log = sinks.read_table(spark, path)
+    return rounded(log.select(F.col("log_date").cast("string").alias("log_date"), "event_id", "score", "verdict"))
 
 
 @query(

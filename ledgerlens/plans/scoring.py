@@ -42,16 +42,19 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     with_tx(
         """SELECT event_id, round(score, 6) AS score, verdict, risk_band, 'stacked_v1' AS model_version,
            'policy_v1' AS policy_version, 0.65::DOUBLE AS threshold_review, 0.9::DOUBLE AS threshold_block,
-           array_to_string(reason_codes, ',') AS reason_codes FROM outcome""",
+           array_to_string(reason_codes, ',') AS reason_codes, round(amount, 6) AS feature_amount,
+           round(amt_to_balance, 6) AS feature_amt_to_balance FROM outcome""",
         OUTCOME_SQL,
     ),
 )
 def scoring_outcome(spark, sf):
     """Flagship: features, state, verdict, reasons and the full outcome row per event."""
     out = pol.scoring_outcome(enriched(spark, sf), features=["amount", "amt_to_balance"])
-    return rounded(
-        out.withColumn("reason_codes", F.array_join("reason_codes", ",")).drop("feature_json")
-    )
+    # The snapshot is read back: engines write numbers in different ways.
+    kept = F.from_json("feature_json", "amount double, amt_to_balance double")
+    out = out.withColumns({"reason_codes": F.array_join("reason_codes", ","), "_kept": kept})
+    out = out.withColumns({"feature_amount": F.col("_kept.amount"), "feature_amt_to_balance": F.col("_kept.amt_to_balance")})
+    return rounded(out.drop("feature_json", "_kept"))
 
 
 @query(

@@ -13,6 +13,7 @@ REVIEW_THRESHOLD = 0.65
 BLOCK_THRESHOLD = 0.90
 STATE_TTL_SECONDS = 86_400
 LEAKAGE_COLS = ("fraud_probability", "laundering_typology", "isFraud", "isMoneyLaundering")
+VERDICTS = ("CLEAR", "REVIEW", "BLOCK")
 ALERT_VERDICTS = ("REVIEW", "BLOCK")
 RESOLUTIONS = ("TRUE_POSITIVE", "FALSE_POSITIVE", "ESCALATED", "DISMISSED")
 

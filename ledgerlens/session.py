@@ -38,10 +38,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and recorded.
+    Only where that is unset on one machine (tests) a temporary folder is made and recorded; a cluster
+    has to name its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not spark.sparkContext.getCheckpointDir():
@@ -60,3 +63,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *stages: str | DataFrame) -> None:
+    """Remove written stages nobody reads any more: paths of :func:`scratch_path`, or frames of :func:`materialize`.
+
+    Only folders of this application below the shared folder are touched.
+    """
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/"
+    for stage in stages:
+        if isinstance(stage, DataFrame):
+            files = stage.inputFiles()
+            stage = files[0].rsplit("/", 1)[0] if files else ""
+        at = stage.find(own.split("://")[-1])
+        if at < 0:
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(stage)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerlens.functions.scalars import json_payload, lenient_timestamp, wall_clock
 from ledgerlens.operators import features as feat
@@ -14,8 +14,8 @@ from ledgerlens.operators import policy as pol
 from ledgerlens.operators.metadata import flatten_metadata
 from ledgerlens.operators.validation import typed_events, validate_events
 from ledgerlens.operators.velocity import velocity_state
-from ledgerlens.schema import MODEL_VERSION, Policy
-from ledgerlens.session import materialize, shared_dir
+from ledgerlens.schema import MODEL_VERSION, VERDICTS, Policy
+from ledgerlens.session import materialize
 from ledgerlens.sources.sinks import fan_out
 from ledgerlens.streaming.state import velocity_stream
 
@@ -95,31 +95,112 @@ def score_lines(lines: DataFrame, scorer: Scorer, policy: Policy = Policy(), row
     return decide(active.unionByName(idle), scorer, policy)
 
 
-def score_stream(
-    lines: DataFrame, scorer: Scorer, policy: Policy = Policy(), expire_idle: bool = True
-) -> DataFrame:
-    """Streaming form of :func:`score_lines`."""
-    return decide(velocity_stream(prepare_events(lines), expire_idle=expire_idle), scorer, policy)
+# How long a delivered event is remembered: the counters' lifetime and the lateness that is expected.
+ONCE = "25 hours"
+
+
+def score_stream(lines: DataFrame, scorer: Scorer, policy: Policy = Policy(), once: str | None = ONCE) -> DataFrame:
+    """Streaming form of :func:`score_lines`; a valid event that is delivered again within ``once`` is scored once."""
+    valid = F.when(F.size("errors") == 0, F.col("event_id"))
+    return decide(velocity_stream(prepare_events(lines), once=once, once_key=valid), scorer, policy)
+
+
+# Metrics of every batch of the running query, under this name.
+COUNTERS = "outcomes"
+
+
+def counted(scored: DataFrame) -> DataFrame:
+    """The same rows, observed: each batch reports successes, errors, late events and verdicts."""
+    good = F.size("errors") == 0
+    verdicts = [F.count_if(good & (F.col("verdict") == v)).alias(f"verdict_{v}") for v in VERDICTS]
+    return scored.observe(
+        COUNTERS, F.count_if(good).alias("success"), F.count_if(~good).alias("error"), F.count_if(F.col("is_late")).alias("late"), *verdicts
+    )
+
+
+def reported(progresses) -> dict[str, int]:
+    """Sums over batches of what they observed; of a batch that was reported more than once, the last."""
+    batches = {}
+    for p in progresses:
+        row = (p.observedMetrics or {}).get(COUNTERS)
+        if row is not None:
+            batches[p.batchId] = row.asDict()
+    out: dict[str, int] = {}
+    for batch in batches.values():
+        for key, value in batch.items():
+            out[key] = out.get(key, 0) + value
+    return out
+
+
+class CounterListener(StreamingQueryListener):
+    """Adds up what the batches of running queries report, by query name; a batch counts once."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, dict[int, dict[str, int]]] = {}
+
+    def totals(self, name: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for batch in self.batches.get(name, {}).values():
+            for key, value in batch.items():
+                out[key] = out.get(key, 0) + value
+        return out
+
+    def onQueryStarted(self, event) -> None:
+        self.batches.setdefault(event.name or str(event.id), {})
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        row = (progress.observedMetrics or {}).get(COUNTERS)
+        if row is not None:
+            self.batches.setdefault(progress.name or str(progress.id), {})[progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def live_profiles(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """(key, n, amount, last_at): the counters in the state store of a stream, as of its last batch.
+
+    ``operator`` counts the stream's stateful operators; see :func:`profile_operators`.
+    """
+    stored = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "activity").load(checkpoint)
+    return stored.select(
+        F.col("key").getField("state_key").alias("key"),
+        F.col("value.n").alias("n"),
+        (F.col("value.micros") / 1_000_000).alias("amount"),
+        F.timestamp_micros("value.last_us").alias("last_at"),
+    )
+
+
+def profile_operators(spark: SparkSession, checkpoint: str) -> list[int]:
+    """Numbers of the stateful operators that hold counters: the customers' first, then the merchants'."""
+    found = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorName").distinct()
+    # Operators are numbered from the sink on.
+    return sorted((r["operatorId"] for r in found.collect() if "transformWithState" in r["operatorName"]), reverse=True)
 
 
 def run_stream(
     lines: DataFrame,
     scorer: Scorer,
     root: str,
+    checkpoint: str,
     policy: Policy = Policy(),
     name: str = "scoring",
     available_now: bool = False,
-    checkpoint: str | None = None,
     publishers: dict | None = None,
+    once: str | None = ONCE,
 ) -> StreamingQuery:
-    """Start the query; its progress is kept in the shared folder, its sinks can be replayed."""
+    """Start the query; its progress is kept below ``checkpoint``, a shared folder, and its sinks can be replayed."""
     spark = lines.sparkSession
     for key, value in STATE_CONF.items():
         spark.conf.set(key, value)
     writer = (
-        score_stream(lines, scorer, policy, expire_idle=not available_now)
+        counted(score_stream(lines, scorer, policy, once))
         .writeStream.queryName(name)
-        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/{name}-progress")
+        .option("checkpointLocation", checkpoint)
         .foreachBatch(fan_out(root, publishers))
     )
     if available_now:
