@@ -23,14 +23,11 @@ Other columns are not looked at. Without candidates, and for an empty table, the
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +44,14 @@ CONTAINED = 100
 # Share of a language's text whose first words are expanded in the first turn.
 FIRST_SHARE = 1 / 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-_BETWEEN = re.compile(r"[\x20\x09.,;:!?\x0A-\x0D]+")
-_BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
-_SEED = 42
-_FLUSH_WORDS = 200_000
-_KNOWN_CODES = 100_000
+BREAKS = (".", ",", ";", ":", "!", "?", "\n", "\x0b", "\x0c", "\r")
+WORDS = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
+TOKENS = WORDS + r"|[.,;:!?\x0A-\x0D]+"
 _ROW = 8_192
 _CHUNK = 400_000
 
 
-def _code(lang: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(f"{lang}\0{word}".encode("utf-8", "surrogatepass"), _SEED)
-
-
 def _code_column(lang: str, word: str) -> Column:
-    """The same number in Spark."""
     return F.xxhash64(F.concat(F.col(lang), F.lit("\0"), F.col(word)))
 
 
@@ -73,75 +62,39 @@ def grown(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def count_words(rows: DataFrame) -> DataFrame:
     """(lang, word, f) of all words."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
-
-        def out() -> pd.DataFrame:
-            found = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
-            held.clear()
-            return pd.DataFrame(found, columns=["lang", "word", "f"])
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                own = held.setdefault(lang, Counter())
-                own.update(_BETWEEN.split(text))
-                own.pop("", None)
-                if sum(map(len, held.values())) > _FLUSH_WORDS:
-                    yield out()
-        if held:
-            yield out()
-
-    found = rows.mapInPandas(count, "lang string, word string, f bigint")
-    return found.groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    found = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("word"))
+    return found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
 
 
 def code_corpus(rows: DataFrame, frequent) -> DataFrame:
     """(codes) of the texts, cut at breaks into rows of about ``_ROW`` words."""
+    def of(token: Column) -> Column:
+        breaks = F.substring(token, 1, 1).isin(*BREAKS)
+        return F.when(breaks, F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.concat(F.col("lang"), F.lit("\0"), token)))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict[str, int]] = {}
-        held: list[np.ndarray] = []
-        size = 0
-
-        def learn(own: dict[str, int], lang: str, new: list[str]) -> None:
-            codes = np.array([_code(lang, w) for w in new], dtype=np.uint64)
-            codes[~may_hold(frequent.value, codes)] = 0
-            own.update(zip(new, codes.tolist(), strict=True))
-
-        def out() -> pd.DataFrame:
-            flat = np.concatenate(held).view(np.int64)
-            cuts = np.flatnonzero(flat == 0)
-            at = np.unique(cuts[np.searchsorted(cuts, np.arange(_ROW, len(flat), _ROW)).clip(max=len(cuts) - 1)])
-            return pd.DataFrame({"codes": [part for part in np.split(flat, at) if part.any()]}, dtype=object)
-
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stop = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                own = known.setdefault(lang, {})
-                if len(own) > _KNOWN_CODES:
-                    own.clear()
-                tokens = _TOKEN.findall(text)
-                new = [t for t in set(tokens) if t not in own]
-                if new:
-                    learn(own, lang, [t for t in new if t[0] not in _BREAKS])
-                    own.update((t, 0) for t in new if t[0] in _BREAKS)
-                codes = np.fromiter(map(own.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-                # Of zeros in a row one says as much, and a word between two is in no phrase.
-                lone = codes != 0
-                lone[1:] &= codes[:-1] == 0
-                lone[:-1] &= codes[1:] == 0
-                codes[lone] = 0
-                keep = codes != 0
-                keep[1:] |= codes[:-1] != 0
-                held += [codes[keep], np.zeros(1, dtype=np.uint64)]
-                size += len(held[-2]) + 1
-                if size > 64 * _ROW:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    return rows.mapInPandas(encode, "codes array<bigint>")
+            held = [x for codes in batch["codes"] for x in (codes, stop)]
+            if not held:
+                continue
+            codes = np.concatenate(held).view(np.uint64)
+            codes = np.where(may_hold(frequent.value, codes), codes, np.uint64(0))
+            # Of zeros in a row one says as much, and a word between two is in no phrase.
+            lone = codes != 0
+            lone[1:] &= codes[:-1] == 0
+            lone[:-1] &= codes[1:] == 0
+            codes[lone] = 0
+            wanted = codes != 0
+            wanted[1:] |= codes[:-1] != 0
+            flat = codes[wanted].view(np.int64)
+            if len(flat):
+                cuts = np.flatnonzero(flat == 0)
+                at = np.unique(cuts[np.searchsorted(cuts, np.arange(_ROW, len(flat), _ROW)).clip(max=len(cuts) - 1)])
+                yield pd.DataFrame({"codes": pd.Series([p for p in np.split(flat, at) if p.any()], dtype=object)})
+
+    tokens = F.regexp_extract_all("text", F.lit(TOKENS), F.lit(0))
+    return rows.select(F.transform(tokens, of).alias("codes")).mapInPandas(keep, "codes array<bigint>")
 
 
 def _over_chunks(corpus: DataFrame, schema: str, count: Callable[[np.ndarray], pd.DataFrame]) -> DataFrame:
