@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,13 +15,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.models.search import Search, Trial
+from ledgerlens.models.staged import best_round, boost
 from ledgerlens.operators import metrics as met
 from ledgerlens.operators.encoding import all_columns, count_classes
 from ledgerlens.operators.split import time_folds
 from ledgerlens.session import materialize
 
 LEARNERS = ("gbt", "rf", "lr")
-WEIGHT, VALIDATION = "_weight", "_validation"
+WEIGHT = "_weight"
+# Rounds after which a search first looks at boosted trees.
+SHORT_ROUNDS = 10
 
 DEFAULTS: dict[str, dict[str, Any]] = {
     "gbt": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8},
@@ -31,35 +34,11 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 
 
-def suggest(name: str, rng: random.Random) -> dict[str, Any]:
-    """One random draw of settings; rates and penalties on a logarithmic scale."""
-    log = lambda lo, hi: math.exp(rng.uniform(math.log(lo), math.log(hi)))
-    if name == "gbt":
-        return {
-            "maxIter": rng.randrange(20, 201, 10),
-            "maxDepth": rng.randint(3, 10),
-            "stepSize": log(1e-3, 0.3),
-            "subsamplingRate": rng.uniform(0.5, 1.0),
-            "minInstancesPerNode": rng.randint(1, 20),
-        }
-    if name == "rf":
-        return {
-            "numTrees": rng.randrange(20, 201, 10),
-            "maxDepth": rng.randint(3, 12),
-            "subsamplingRate": rng.uniform(0.5, 1.0),
-            "minInstancesPerNode": rng.randint(1, 20),
-        }
-    if name == "lr":
-        return {"regParam": log(1e-8, 10.0), "elasticNetParam": rng.uniform(0.0, 1.0), "maxIter": 100}
-    raise ValueError(f"unknown learner: {name}")
-
-
-def build_learner(name: str, params: dict[str, Any], seed: int = 42, early_stop: bool = False):
-    """A weighted learner; boosting can stop on rows marked for validation."""
+def build_learner(name: str, params: dict[str, Any], seed: int = 42):
+    """A weighted learner."""
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": WEIGHT}
     if name == "gbt":
-        extra = {"validationIndicatorCol": VALIDATION} if early_stop else {}
-        return GBTClassifier(**common, **params, **extra, seed=seed)
+        return GBTClassifier(**common, **params, seed=seed)
     if name == "rf":
         return RandomForestClassifier(**common, **params, seed=seed)
     if name == "lr":
@@ -67,9 +46,9 @@ def build_learner(name: str, params: dict[str, Any], seed: int = 42, early_stop:
     raise ValueError(f"unknown learner: {name}")
 
 
-def weighted(df: DataFrame, scheme: str = "balanced") -> DataFrame:
-    """Class weights; both classes must be present."""
-    neg, pos = count_classes(df, "label")
+def weighted(df: DataFrame, scheme: str = "balanced", counts: tuple[int, int] | None = None) -> DataFrame:
+    """Class weights; both classes must be present. ``counts`` (negative, positive) saves counting them."""
+    neg, pos = counts or count_classes(df, "label")
     if not neg:
         raise ValueError("both classes are needed")
     if scheme == "balanced":
@@ -92,15 +71,20 @@ def probability(model, df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, vector_to_array("probability")[1]).drop(*extra)
 
 
-def fit_learner(name: str, params: dict[str, Any], train: DataFrame, val: DataFrame | None = None, seed: int = 42):
-    """Fit one learner; with validation rows, boosting keeps the best number of rounds."""
-    scheme = "balanced" if name == "rf" else "ratio"
-    rows = weighted(train, scheme)
-    early = name == "gbt" and val is not None
-    if early:
-        held = val.withColumn(WEIGHT, F.lit(1.0))
-        rows = rows.withColumn(VALIDATION, F.lit(False)).unionByName(held.withColumn(VALIDATION, F.lit(True)))
-    return build_learner(name, params, seed, early).fit(rows)
+def fit_learner(
+    name: str,
+    params: dict[str, Any],
+    train: DataFrame,
+    val: DataFrame | None = None,
+    seed: int = 42,
+    counts: tuple[int, int] | None = None,
+):
+    """Fit one learner; with validation rows, boosting keeps the rounds with the best PR-AUC on them."""
+    rows = weighted(train, "balanced" if name == "rf" else "ratio", counts)
+    if name == "gbt" and val is not None:
+        most = params.get("maxIter", DEFAULTS["gbt"]["maxIter"])
+        return boost(lambda n: build_learner(name, params | {"maxIter": n}, seed).fit(rows), most, val)[0]
+    return build_learner(name, params, seed).fit(rows)
 
 
 def rounds(name: str, model, params: dict[str, Any]) -> int | None:
@@ -111,21 +95,60 @@ def pr_auc(df: DataFrame, score: str) -> float:
     return float(met.average_precision(df, "label", score).first()["pr_auc"] or 0.0)
 
 
-def tune(
-    name: str, train: DataFrame, val: DataFrame, n_trials: int = 50, seed: int = 42, parallelism: int = 4
-) -> tuple[dict[str, Any], list[tuple[int, float, dict[str, Any]]]]:
-    """Seeded random search for the best validation PR-AUC on a fixed time split."""
-    rng = random.Random(f"{seed}-{name}")
-    trials = [suggest(name, rng) for _ in range(n_trials)]
+def side_by_side(jobs: Sequence[Callable[[], Any]], parallelism: int = 4) -> list[Any]:
+    """Results of jobs that run at the same time; each is a series of small Spark jobs."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
 
-    def run(i: int) -> tuple[int, float, dict[str, Any]]:
-        model = fit_learner(name, trials[i], train, val, seed)
-        return i, pr_auc(probability(model, val, "p"), "p"), trials[i]
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        done = list(pool.map(run, range(n_trials)))
-    best = max(done, key=lambda t: (t[1], -t[0]))
-    return best[2], done
+def judge(models: dict[int, Any], df: DataFrame) -> dict[int, float]:
+    """PR-AUC of several models on the same rows, in one grouped pass."""
+    parts = [probability(m, df, "p").select(F.lit(i).alias("trial"), "label", "p") for i, m in models.items()]
+    found = met.average_precision(all_columns(parts), "label", "p", by=["trial"]).collect()
+    return {r["trial"]: float(r["pr_auc"] or 0.0) for r in found}
+
+
+def tune(
+    name: str, train: DataFrame, val: DataFrame, n_trials: int = 50, seed: int = 42, parallelism: int = 8
+) -> tuple[dict[str, Any], list[Trial]]:
+    """Best settings by validation PR-AUC on a fixed time split, and all trials (see ``search``).
+
+    Boosted trees first run a few rounds; trials whose short run lies below the median stop there. The
+    split is held in memory for the search, and classes are counted once.
+    """
+    counts = count_classes(train, "label")
+    train, val = train.select("label", "features").persist(), val.select("label", "features").persist()
+
+    def fitted(t: Trial, rounds: int | None = None):
+        return fit_learner(name, t.params | ({"maxIter": rounds} if rounds else {}), train, None, seed, counts)
+
+    def boosted(t: Trial, most: int) -> list[float]:
+        return boost(lambda n: fitted(t, n), most, val, min(SHORT_ROUNDS, most))[1]
+
+    def short(trials: list[Trial]) -> None:
+        curves = side_by_side([lambda t=t: boosted(t, SHORT_ROUNDS) for t in trials], parallelism)
+        for t, curve in zip(trials, curves, strict=True):
+            t.short = max(curve)
+            if t.short >= 1.0:
+                t.value, t.rounds = t.short, best_round(curve)
+
+    def full(trials: list[Trial]) -> None:
+        if name == "gbt":
+            curves = side_by_side([lambda t=t: boosted(t, t.params["maxIter"]) for t in trials], parallelism)
+            for t, curve in zip(trials, curves, strict=True):
+                t.rounds = best_round(curve)
+                t.value = curve[t.rounds - 1]
+            return
+        models = dict(zip((t.number for t in trials), side_by_side([lambda t=t: fitted(t) for t in trials], parallelism), strict=True))
+        values = judge(models, val)
+        for t in trials:
+            t.value, t.rounds = values[t.number], rounds(name, models[t.number], t.params)
+
+    search = Search(name, n_trials, parallelism, seed)
+    best = search.run(short if name == "gbt" else None, full)
+    train.unpersist()
+    val.unpersist()
+    return best.params, search.trials
 
 
 @dataclass
@@ -134,12 +157,12 @@ class StackConfig:
     n_trials: int = 50
     meta_splits: int = 5
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 8
     params: dict[str, dict[str, Any]] | None = None  # given = no search
 
 
 def oof_meta_features(
-    train: DataFrame, params: dict[str, dict[str, Any]], splits: int = 5, seed: int = 42
+    train: DataFrame, params: dict[str, dict[str, Any]], splits: int = 5, seed: int = 42, parallelism: int = 8
 ) -> DataFrame:
     """Scores of models that saw only earlier folds; the first block has none and is left out.
 
@@ -147,17 +170,29 @@ def oof_meta_features(
     """
     folded = materialize(time_folds(train, n_splits=splits), "folds")
     counts = folded.groupBy("fold").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    for row in counts.collect():
+    counts = counts.collect()
+    for row in counts:
         if row["pos"] in (0, row["n"]):
             raise ValueError(f"fold {row['fold']} must contain both classes")
+    sizes = {r["fold"]: (r["n"] - r["pos"], r["pos"]) for r in counts}
+    folded = folded.persist()
+
+    def fit(fold: int, name: str):
+        seen = tuple(sum(sizes[f][side] for f in sizes if f < fold) for side in (0, 1))
+        past, now = folded.where(F.col("fold") < fold), folded.where(F.col("fold") == fold)
+        return fit_learner(name, params[name], past, now, seed, seen)
+
+    turns = [(fold, name) for fold in range(1, splits + 1) for name in params]
+    models = dict(zip(turns, side_by_side([lambda t=t: fit(*t) for t in turns], parallelism), strict=True))
     parts = []
     for fold in range(1, splits + 1):
-        past, now = folded.where(F.col("fold") < fold), folded.where(F.col("fold") == fold)
-        scored = now
-        for name, p in params.items():
-            scored = probability(fit_learner(name, p, past, now, seed), scored, f"{name}_prob")
+        scored = folded.where(F.col("fold") == fold)
+        for name in params:
+            scored = probability(models[fold, name], scored, f"{name}_prob")
         parts.append(scored)
-    return all_columns(parts)
+    out = materialize(all_columns(parts), "oof-meta")
+    folded.unpersist()
+    return out
 
 
 def fit_meta(rows: DataFrame, cols: Sequence[str], c: float = 1.0) -> PipelineModel:
@@ -250,18 +285,24 @@ def fit_stack(train: DataFrame, val: DataFrame, config: StackConfig = StackConfi
     params = config.params or {
         n: tune(n, train, val, config.n_trials, config.seed, config.parallelism)[0] for n in config.learners
     }
-    first = {n: fit_learner(n, params[n], train, val, config.seed) for n in config.learners}
+    seen = count_classes(train, "label")
+    train, val = train.persist(), val.persist()
+    fits = [lambda n=n: fit_learner(n, params[n], train, val, config.seed, seen) for n in config.learners]
+    first = dict(zip(config.learners, side_by_side(fits, config.parallelism), strict=True))
     kept = {n: rounds(n, first[n], params[n]) for n in config.learners}
-    meta_rows = materialize(oof_meta_features(train, params, config.meta_splits, config.seed), "oof-meta")
+    meta_rows = oof_meta_features(train, params, config.meta_splits, config.seed, config.parallelism)
     cols = [f"{n}_prob" for n in config.learners]
     meta = fit_meta(meta_rows, cols)
     held = StackModel(first, meta, 0.5).score(val)
     threshold = float(met.best_f1_threshold(held, "label", "score").first()["threshold"])
     both = train.unionByName(val)
-    final = {}
-    for n in config.learners:
-        settings = dict(params[n])
-        if n == "gbt" and kept[n]:
-            settings["maxIter"] = kept[n]
-        final[n] = fit_learner(n, settings, both, None, config.seed)
+    every = count_classes(both, "label")
+
+    def settings(n: str) -> dict[str, Any]:
+        return params[n] | ({"maxIter": kept[n]} if n == "gbt" and kept[n] else {})
+
+    fits = [lambda n=n: fit_learner(n, settings(n), both, None, config.seed, every) for n in config.learners]
+    final = dict(zip(config.learners, side_by_side(fits, config.parallelism), strict=True))
+    train.unpersist()
+    val.unpersist()
     return StackModel(final, meta, threshold, params, kept)

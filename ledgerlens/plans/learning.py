@@ -120,13 +120,15 @@ def fit_base(spark, sf):
 
 @query("tune")
 def tune(spark, sf):
-    """A random search for every learner; its trials with their validation PR-AUC."""
+    """The search of every learner: its trials with their validation PR-AUC, or that of the short run they ended with."""
     _, rows = prepared(spark, sf)
     data = []
     for name in stk.LEARNERS:
         _, trials = stk.tune(name, rows["train"], rows["val"])
-        data += [(name, i, float(v), str(sorted(p.items()))) for i, v, p in trials]
-    return spark.createDataFrame(data, "model string, trial int, pr_auc double, params string")
+        data += [(name, t.number, t.value, t.short, t.stopped, t.rounds, str(sorted(t.params.items()))) for t in trials]
+    return spark.createDataFrame(
+        data, "model string, trial int, pr_auc double, short_pr_auc double, stopped boolean, rounds int, params string"
+    )
 
 
 @query("oof_meta")
