@@ -233,5 +233,5 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_features_of_disguised_insults():
     f = toxicity.text_features("You 1d1ot! s t u p i d and lo-ser, calm day")
-    assert f[3] == pytest.approx(math.log1p(3)) and f[5] >= 1
+    assert f[9] == pytest.approx(math.log1p(3)) and f[11] >= 1
     assert toxicity.text_features("") == [0.0] * len(f)
