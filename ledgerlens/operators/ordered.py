@@ -208,20 +208,106 @@ def at_or_after(mark: tuple, order: Column, id_col: str) -> Column:
     )
 
 
+# Groups above this are searched by brackets: one rank is then less than a tenth of the slack around a bracket.
+BRACKET_ROWS = 100_000
+_ACCURACY = 10_000
+_SLACK = 3e-4
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
     rows_per_task: int = ROWS_PER_TASK,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one line per group.
 
-    Equal values are counted first, so a group is never collected: what is ordered is the table
-    of distinct values, and that one is cut into slices where it is large.
+    Groups of more than ``bracket_rows`` rows are searched by selection: sketches bracket each quantile,
+    one pass counts what lies below the bracket and up to its end, and only the rows inside are shuffled
+    and ordered. A bracket that the counts show to miss its quantile is not used. The other groups count
+    equal values first, so no group is collected: what is ordered is the table of distinct values, and
+    that one is cut into slices where it is large.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bracket_rows)
+    if not sizes.head(1):
+        return _counted_quantiles(present, keys, value, probs, rows_per_task)
+    marks = materialize(_brackets(present, sizes, keys, value, probs), "brackets")
+    sure = marks.where("_sure")
+    narrow = _selected_quantiles(present, sure, keys, value, probs, rows_per_task)
+    if keys:
+        rest = present.alias("a").join(sure.alias("b"), same_keys(keys), "left_anti")
+    else:
+        rest = present.where(F.lit(not sure.head(1)))
+    wide = _counted_quantiles(rest, keys, value, probs, rows_per_task)
+    if not keys:  # a group of no rows is not a group
+        return narrow if sure.head(1) else wide
+    return narrow.unionByName(wide)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], *take: str) -> DataFrame:
+    """``left`` with columns of ``right``, which holds each key once (a single row without keys)."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right.select(*take)))
+    return left.alias("a").join(right.alias("b"), same_keys(keys)).select("a.*", *[f"b.{c}" for c in take])
+
+
+def _ranks(probs: dict[str, float]) -> list[tuple[Column, Column, Column]]:
+    """(lower place, upper place, share of the upper one) of each quantile in ``_n`` ordered values."""
+    out = []
+    for p in probs.values():
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        low = F.floor(at)
+        out.append((low, F.least(low + 1, F.col("_n") - 1), at - low))
+    return out
+
+
+def _brackets(present: DataFrame, sizes: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """keys, _n, _ends (low, high of each quantile), _below (values before each low), _sure."""
+    v = F.col(value).cast("double")
+    ends = [min(1.0, max(0.0, p + s)) for p in probs.values() for s in (-_SLACK, _SLACK)]
+    own = _joined(present, sizes, keys, "_n")
+    sketched = own.groupBy(*keys).agg(F.first("_n").alias("_n"), F.percentile_approx(v, ends, _ACCURACY).alias("_ends"))
+    sketched = materialize(sketched, "sketches")
+    tested = _joined(present, sketched, keys, "_n", "_ends")
+    n = len(probs)
+    counts = tested.groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_ends").alias("_ends"),
+        F.array(*[F.count_if(v < F.col("_ends")[2 * i]) for i in range(n)]).alias("_below"),
+        F.array(*[F.count_if(v <= F.col("_ends")[2 * i + 1]) for i in range(n)]).alias("_upto"),
+    )
+    inside = [(F.col("_below")[i] <= low) & (high < F.col("_upto")[i]) for i, (low, high, _) in enumerate(_ranks(probs))]
+    sure = inside[0]
+    for one in inside[1:]:
+        sure = sure & one
+    return counts.withColumn("_sure", sure).drop("_upto")
+
+
+def _selected_quantiles(
+    present: DataFrame, sure: DataFrame, keys: list[str], value: str, probs: dict[str, float], rows_per_task: int
+) -> DataFrame:
+    v = F.col(value).cast("double")
+    rows = _joined(present.select(*keys, v.alias("_v")), sure, keys, "_ends")
+    hits = [
+        F.when(F.col("_v").between(F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]), F.lit(i)) for i in range(len(probs))
+    ]
+    held = rows.select(*keys, "_v", F.explode(F.array_compact(F.array(*hits))).alias("_q"))
+    counted = held.groupBy(*keys, "_q", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_totals(counted, [*keys, "_q"], "_v", {"_lo": F.col("_c")}, None, rows_per_task)
+    placed = _joined(placed, sure, keys, "_n", "_below")
+    first = F.col("_lo") + F.get("_below", F.col("_q"))
+    holds = lambda place: (first <= place) & (place < first + F.col("_c"))
+    aggs = []
+    for i, (name, (low, high, share)) in enumerate(zip(probs, _ranks(probs), strict=True)):
+        part = F.when(holds(low), F.col("_v") * (1 - share)).otherwise(0.0) + F.when(holds(high), F.col("_v") * share).otherwise(0.0)
+        aggs.append(F.sum(F.when(F.col("_q") == i, part)).alias(name))
+    return placed.groupBy(*keys).agg(*aggs)
+
+
+def _counted_quantiles(present: DataFrame, keys: list[str], value: str, probs: dict[str, float], rows_per_task: int) -> DataFrame:
     counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = running_totals(counted, keys, value, {"_lo": F.col("_c")}, None, rows_per_task)
     totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))

@@ -132,3 +132,36 @@ def test_metrics(hot):
 def test_result_does_not_depend_on_partitions(hot):
     a = vel.velocity_state(hot.repartition(13), rows_per_task=40)
     same(vel.velocity_state(hot.coalesce(1)), a)
+
+
+def test_quantiles_by_selection(spark, monkeypatch):
+    """Bracketed groups, groups whose bracket misses, small groups, ties, nulls: all as by plain counting."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import ordered
+
+    draw = np.random.default_rng(4)
+    rows = [("even", float(x)) for x in draw.random(3000)] + [("tied", float(x)) for x in draw.integers(0, 4, 2500)]
+    rows += [("few", 1.0), ("few", 4.0), (None, 2.0), ("few", None), ("even", float("nan")), ("far", float("inf")), ("far", 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"q1": 0.25, "median": 0.5, "q99": 0.99, "least": 0.0, "most": 1.0}
+    want = {r["g"]: tuple(r)[1:] for r in ordered.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert want["even"] == pytest.approx(tuple(np.quantile([v for g, v in rows if g == "even" and v == v], list(probs.values()))))
+    all_rows = df.where("g <> 'far'")
+    whole = tuple(ordered.exact_quantiles(all_rows, [], "v", probs).first())
+    for slack in (0.05, 3e-4, 0.0):  # the last ones miss by a place in groups this small
+        monkeypatch.setattr(ordered, "_SLACK", slack)
+        got = {r["g"]: tuple(r)[1:] for r in ordered.exact_quantiles(df, ["g"], "v", probs, bracket_rows=1000).collect()}
+        assert got.keys() == want.keys()
+        for g, v in want.items():
+            assert got[g] == pytest.approx(v, abs=1e-12, nan_ok=True), (g, slack)
+        one = ordered.exact_quantiles(all_rows, [], "v", probs, bracket_rows=1000).collect()
+        assert len(one) == 1 and tuple(one[0]) == pytest.approx(whole, abs=1e-12)
+    plan = ordered._selected_quantiles
+    calls = []
+    monkeypatch.setattr(ordered, "_SLACK", 0.05)
+    monkeypatch.setattr(ordered, "_selected_quantiles", lambda p, sure, *a: calls.append({r["g"] for r in sure.collect()}) or plan(p, sure, *a))
+    ordered.exact_quantiles(df, ["g"], "v", probs, bracket_rows=1000).collect()
+    assert calls == [{"even", "tied"}]
+    assert ordered.exact_quantiles(df.where(F.lit(False)), ["g"], "v", probs, bracket_rows=1000).collect() == []
