@@ -187,7 +187,8 @@ def pack_members(rows: DataFrame, digests) -> DataFrame:
                 known.clear()
             known.update(own["digest"].tolist())
             bags = [bag(t) for t in own["text"]]
-            yield pd.DataFrame({"bag": [bag_digest(b) for b in bags], "packed": [_pack(b) for b in bags]})
+            names, packed = [bag_digest(b) for b in bags], [_pack(b) for b in bags]
+            yield pd.DataFrame({"bag": pd.Series(names, dtype=object), "packed": pd.Series(packed, dtype=object)})
 
     return rows.select("digest", "text").mapInPandas(pack, "bag string, packed binary").dropDuplicates(["bag"])
 
@@ -262,11 +263,18 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for b, group, packed in zip(batch["bag"], batch["group"], batch["packed"], strict=True):
+            if not len(batch):
+                continue
+            firsts, sizes = [], []
+            for packed in batch["packed"]:
                 own = occurrences(_unpack(packed))
                 times = order.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                first = own[np.lexsort((own, times))][: prefix_length(len(own), threshold)]
-                yield pd.DataFrame({"occurrence": first.view(np.int64), "bag": b, "group": group, "size": len(own)})
+                firsts.append(own[np.lexsort((own, times))][: prefix_length(len(own), threshold)])
+                sizes.append(len(own))
+            lengths = [len(f) for f in firsts]
+            columns = {c: pd.Series(np.repeat(batch[c].to_numpy(dtype=object), lengths), dtype=object) for c in ("bag", "group")}
+            occurrence = np.concatenate(firsts).view(np.int64)
+            yield pd.DataFrame({"occurrence": occurrence, **columns, "size": np.repeat(np.array(sizes, dtype=np.int64), lengths)})
 
     rows = materialize(bags.mapInPandas(prefix, "occurrence bigint, bag string, group string, size bigint"), "prefixes")
     sizes = rows.groupBy("occurrence", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("occurrence")
