@@ -10,9 +10,9 @@ Signatures are banded. In a bucket every bag is compared with one hub, not with
 that were confirmed make groups. Buckets that still mix groups are compared once more with other hubs;
 what is mixed after that goes through a prefix filter, which loses no pair: the occurrences of a bag
 (a shingle and its i-th repetition) are put in one order for all bags, about the rarest first, and two
-bags of similarity t share one of the first |b| - ceil(t |b|) + 1 of each. Of the members of an
-occurrence only those outside its largest group are set against the others, so neither a dense group
-nor a passage that many documents share is compared each with each. A pair is confirmed by the exact
+bags of similarity t share one of the first |b| - ceil(t |b|) + 1 of each. Bags that share one are
+compared inside the task they meet in, in blocks of bounded size, by what they can have in common at
+most; only pairs of different groups that can be similar enough leave it. A pair is confirmed by the exact
 weighted Jaccard similarity of the two bags. A pair of similarity 0.8 shares no band with probability
 5e-5.
 
@@ -46,6 +46,9 @@ KNOWN_WORDS = 50_000
 KNOWN_TEXTS = 100_000
 # Slots in which occurrences are counted for their order.
 SLOT_BITS = 18
+# Bags that meet under one occurrence and task; columns of the table in which they are compared.
+BLOCK = 512
+_CODES = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,15 +280,83 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
             yield pd.DataFrame({"occurrence": occurrence, **columns, "size": np.repeat(np.array(sizes, dtype=np.int64), lengths)})
 
     rows = materialize(bags.mapInPandas(prefix, "occurrence bigint, bag string, group string, size bigint"), "prefixes")
-    sizes = rows.groupBy("occurrence", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("occurrence")
-    shared = sizes.agg(F.max_by("group", "n").alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rows = rows.join(shared.select("occurrence", "largest"), "occurrence")
-    left = rows.select("occurrence", F.col("bag").alias("a"), F.col("group").alias("own"), F.col("size").alias("m"))
-    right = rows.where("`group` <> largest").select(
-        "occurrence", F.col("bag").alias("b"), F.col("group").alias("other"), F.col("size").alias("n")
+    sizes = rows.groupBy("occurrence").agg(
+        F.count(F.lit(1)).alias("n"), F.min("group").alias("x"), F.max("group").alias("y")
     )
-    alike = (F.least("m", "n") >= F.greatest("m", "n") * (threshold - 1e-9)) & (F.col("own") != F.col("other"))
-    return left.join(right, "occurrence").where(alike).select(*_ordered()).distinct()
+    shared = sizes.where("x <> y").select("occurrence", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(shared, "occurrence").withColumn("own", F.pmod(F.xxhash64("bag"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    turn = ["occurrence", "i", "j"]
+    placed = placed.select(
+        "occurrence", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bag", "group"
+    )
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each bag's occurrences by half their bits: enough to bound what two bags share from above."""
+        for batch in batches:
+            short = [np.unique(occurrences(_unpack(p)) >> np.uint64(32)).astype("<u4") for p in batch["packed"]]
+            size = [int(_unpack(p)[1].sum()) for p in batch["packed"]]
+            codes = pd.Series([c.tobytes() for c in short], dtype=object)
+            yield pd.DataFrame({"bag": batch["bag"].to_numpy(dtype=object), "size": size, "codes": codes})
+
+    codes = materialize(bags.select("bag", "packed").mapInPandas(shorten, "bag string, size bigint, codes binary"), "short-bags")
+    placed = placed.join(codes, "bag").select(*turn, "own", "bag", "group", "size", "codes")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of each occurrence, or of two blocks of it, that may be alike; a run of equal keys is one."""
+
+        def pairs(rows: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+            i, j, own, size = (rows[c].to_numpy(np.int64) for c in ("i", "j", "own", "size"))
+            bag, group, packed = (rows[c].to_numpy(dtype=object) for c in ("bag", "group", "codes"))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for start, end in zip(edges, edges[1:], strict=False):
+                at = np.arange(start, end)
+                left, right = (at[own[at] == i[start]], at[own[at] == j[start]]) if i[start] != j[start] else (at, at)
+                a, b = may_be_alike(left, right, packed, size, threshold)
+                new = (group[a] != group[b]) & ((a < b) | (i[start] != j[start]))
+                found.append((bag[a[new]], bag[b[new]]))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], []]
+            return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip("ab", columns, strict=True)})
+
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            edges = (rows[turn] != rows[turn].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            if len(edges) > 1:
+                yield pairs(rows, edges)
+            held = rows.iloc[edges[-1] :].reset_index(drop=True) if edges else None
+        if held is not None:
+            yield pairs(held, [0, len(held)])
+
+    met = placed.repartition(*turn).sortWithinPartitions(*turn).mapInPandas(meet, "a string, b string")
+    return met.select(*_ordered()).distinct()
+
+
+def may_be_alike(
+    left: np.ndarray, right: np.ndarray, codes: np.ndarray, size: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose shortened occurrences leave a similarity of ``threshold`` possible."""
+    none = np.zeros(0, dtype=np.int64)
+    if not len(left) or not len(right):
+        return none, none
+    rows = np.union1d(left, right)
+    own = [np.frombuffer(codes[r], "<u4") for r in rows]
+    _, code = np.unique(np.concatenate(own), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in own])
+    at_left, at_right = np.searchsorted(rows, left), np.searchsorted(rows, right)
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(code.max(initial=-1)) + 1, _CODES):
+        on = (code >= start) & (code < start + _CODES)
+        table = np.zeros((len(rows), _CODES), dtype=np.float32)
+        table[owner[on], code[on] - start] = 1
+        shared += table[at_left] @ table[at_right].T
+    # Repetitions may collide when shortened: what is lost of a bag that way is added to what it may share.
+    distinct = np.array([len(c) for c in own])
+    lost = size[rows] - distinct
+    most = shared + np.minimum(lost[at_left][:, None] + lost[at_right][None, :], size[left][:, None] + size[right][None, :])
+    total = (size[left][:, None] + size[right][None, :]).astype(np.float64)
+    a, b = np.nonzero(most * (1 + threshold) >= threshold * total - 1e-6)
+    return left[a], right[b]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
