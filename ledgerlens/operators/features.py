@@ -17,7 +17,7 @@ from ledgerlens.functions.scalars import (
     unix_seconds,
     wall_clock,
 )
-from ledgerlens.operators.metadata import flatten_metadata
+from ledgerlens.operators.metadata import flatten_metadata, parse_metadata
 from ledgerlens.schema import LEAKAGE_COLS, LEGACY_TARGET_COL, TARGET_COL
 
 TIME_COL = "timestamp"
@@ -151,14 +151,25 @@ def event_defaults(df: DataFrame, iso_time: str = "event_time") -> DataFrame:
     ).drop("_iso", "source", "ingested_at", iso_time, TARGET_COL, LEGACY_TARGET_COL)
 
 
-def feature_frame(df: DataFrame, time_col: str = TIME_COL) -> DataFrame:
-    """The whole chain: drop leakage, flatten, calendar, balances, finish. One projection."""
+def feature_frame(df: DataFrame, time_col: str = TIME_COL, keep_errors: bool = False) -> DataFrame:
+    """The whole chain: drop leakage, flatten, calendar, balances, finish. One projection.
+
+    With ``keep_errors``, ``metadata_error`` marks rows whose payload could not be read and whose columns
+    are filled with defaults; :func:`unread_payloads` are the rows to look at.
+    """
     out = drop_columns(df)
     if "metadata" in out.columns:
-        out = flatten_metadata(out).drop("metadata_error")
+        out = flatten_metadata(out)
+        out = out if keep_errors else out.drop("metadata_error")
     return (
         out.transform(time_columns, time_col)
         .transform(time_features, time_col)
         .transform(balance_features)
         .transform(finalize, time_col)
     )
+
+
+def unread_payloads(df: DataFrame, col: str = "metadata") -> DataFrame:
+    """Rows whose payload text cannot be read, as they came."""
+    own = df.withColumn("_own", F.col(col))
+    return parse_metadata(own, col).where(f"{col}_error").withColumn(col, F.col("_own")).select(*df.columns)

@@ -134,3 +134,23 @@ def test_discarded_stages_are_gone(spark):
     discard(spark, stage, other)
     discard(spark, other, "/nowhere/else")
     assert not os.path.exists(folder) and not os.path.exists(other)
+
+
+def test_cells_of_the_wrong_type_are_reported(spark, tmp_path):
+    from ledgerlens.sources import tables
+
+    path = tmp_path / "t.csv"
+    path.write_text('step,amount,isMoneyLaundering,metadata,other\n3.0,12.5,True,"{\'a\': \'x,""y""\'}",z\n4,oops,false,,\nx,7,1,m,\n,,2.5,,\n')
+    df = tables.read_transactions_csv(spark, str(path), errors=True)
+    assert [tuple(r)[:3] for r in df.collect()] == [(3, 12.5, 1), (4, None, 0), (None, 7.0, 1), (None, None, None)]
+    assert [r["cell_errors"] for r in df.collect()] == [[], ["amount"], ["step"], ["isMoneyLaundering"]]
+    assert {(r["column"], r["n"]) for r in tables.bad_cells(df).collect()} == {("amount", 1), ("step", 1), ("isMoneyLaundering", 1)}
+    assert df.first()["metadata"] == "{'a': 'x,\"y\"'}" and "cell_errors" not in tables.read_transactions_csv(spark, str(path)).columns
+
+
+def test_unread_payloads_are_rejects(spark):
+    from ledgerlens.operators.features import unread_payloads
+
+    rows = [(1, "{'location': {'city': 'a'}}"), (2, "{broken"), (3, None)]
+    out = unread_payloads(spark.createDataFrame(rows, "id int, metadata string")).collect()
+    assert [tuple(r) for r in out] == [(2, "{broken")]

@@ -1,6 +1,7 @@
 """The registered model queries run all learners with the default trials, repeats and rounds."""
 
 from ledgerlens.models import stacking as stk
+from ledgerlens.models.search import Trial
 from ledgerlens.plans import learning
 
 
@@ -15,7 +16,7 @@ def test_registered_settings(spark, monkeypatch):
 
     def tune(name, train, val, **settings):
         calls.append((name, settings))
-        return {}, [(0, 0.5, {})]
+        return {}, [Trial(0, {}, 0.5)]
 
     monkeypatch.setattr(stk, "tune", tune)
     got = learning.tune(spark, "").collect()
