@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.bagminhash import _mix
 from ledgerlens.llm.bloom import bloom_filter, may_hold
-from ledgerlens.llm.common import lower_ascii, small_batches, whole
+from ledgerlens.llm.common import UPPER, small_batches, whole
 from ledgerlens.session import materialize
 
 MIN_COUNT = 100
@@ -44,13 +44,19 @@ CONTAINED = 100
 # Share of a language's text whose first words are expanded in the first turn.
 FIRST_SHARE = 1 / 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BREAKS = (".", ",", ";", ":", "!", "?", "\n", "\x0b", "\x0c", "\r")
-WORDS = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
-TOKENS = WORDS + r"|[.,;:!?\x0A-\x0D]+"
+# Signs that end a piece; all of them are read as the first one.
+BREAKS = ".,;:!?\n\x0b\x0c\r"
+WORDS = r"[^\x20\x09.]+"
+TOKENS = WORDS + r"|\.+"
 _ROW = 8_192
 _CHUNK = 400_000
 
 
+def folded(text: Column) -> Column:
+    """Only A-Z lower-cased, and one sign for all that end a piece."""
+    return F.translate(text, UPPER + BREAKS[1:], UPPER.lower() + BREAKS[0] * (len(BREAKS) - 1))
+
+
 def _code_column(lang: str, word: str) -> Column:
     return F.xxhash64(F.concat(F.col(lang), F.lit("\0"), F.col(word)))
 
@@ -69,8 +75,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 def code_corpus(rows: DataFrame, frequent) -> DataFrame:
     """(codes) of the texts, cut at breaks into rows of about ``_ROW`` words."""
     def of(token: Column) -> Column:
-        breaks = F.substring(token, 1, 1).isin(*BREAKS)
-        return F.when(breaks, F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.concat(F.col("lang"), F.lit("\0"), token)))
+        return F.when(token.startswith(BREAKS[0]), F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.concat(F.col("lang"), F.lit("\0"), token)))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stop = np.zeros(1, dtype=np.int64)
@@ -225,7 +230,7 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, lo
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), lower_ascii(whole()).alias("text"))
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), folded(whole()).alias("text"))
     counted = materialize(count_words(rows), "collocation-words")
     sizes = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words = counted.where(F.col("f") >= min_count).join(sizes, "lang")
