@@ -11,8 +11,9 @@ that were confirmed make groups. Buckets that still mix groups are compared once
 what is mixed after that goes through a prefix filter, which loses no pair: the occurrences of a bag
 (a shingle and its i-th repetition) are put in one order for all bags, about the rarest first, and two
 bags of similarity t share one of the first |b| - ceil(t |b|) + 1 of each. Bags that share one are
-compared inside the task they meet in, in blocks of bounded size, by what they can have in common at
-most; only pairs of different groups that can be similar enough leave it. A pair is confirmed by the exact
+compared inside the task they meet in, in blocks of bounded size, by sketches that bound from below in
+how much they differ; only pairs of different groups that can be similar enough leave it. A pair is
+confirmed by the exact
 weighted Jaccard similarity of the two bags. A pair of similarity 0.8 shares no band with probability
 5e-5.
 
@@ -46,9 +47,9 @@ KNOWN_WORDS = 50_000
 KNOWN_TEXTS = 100_000
 # Slots in which occurrences are counted for their order.
 SLOT_BITS = 18
-# Bags that meet under one occurrence and task; columns of the table in which they are compared.
+# Bags that meet under one occurrence and task; bits by which they are compared there.
 BLOCK = 512
-_CODES = 4096
+SKETCH_BITS = 2048
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -292,27 +293,28 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
     )
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each bag's occurrences by half their bits: enough to bound what two bags share from above."""
         for batch in batches:
-            short = [np.unique(occurrences(_unpack(p)) >> np.uint64(32)).astype("<u4") for p in batch["packed"]]
-            size = [int(_unpack(p)[1].sum()) for p in batch["packed"]]
-            codes = pd.Series([c.tobytes() for c in short], dtype=object)
-            yield pd.DataFrame({"bag": batch["bag"].to_numpy(dtype=object), "size": size, "codes": codes})
+            if not len(batch):
+                continue
+            own = [occurrences(_unpack(p)) for p in batch["packed"]]
+            sketches = pd.Series([odd_sketch(o).tobytes() for o in own], dtype=object)
+            yield pd.DataFrame({"bag": batch["bag"].to_numpy(dtype=object), "size": [len(o) for o in own], "sketch": sketches})
 
-    codes = materialize(bags.select("bag", "packed").mapInPandas(shorten, "bag string, size bigint, codes binary"), "short-bags")
-    placed = placed.join(codes, "bag").select(*turn, "own", "bag", "group", "size", "codes")
+    short = bags.select("bag", "packed").mapInPandas(shorten, "bag string, size bigint, sketch binary")
+    short = materialize(short, "odd-sketches")
+    placed = placed.join(short, "bag").select(*turn, "own", "bag", "group", "size", "sketch")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of each occurrence, or of two blocks of it, that may be alike; a run of equal keys is one."""
 
         def pairs(rows: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
             i, j, own, size = (rows[c].to_numpy(np.int64) for c in ("i", "j", "own", "size"))
-            bag, group, packed = (rows[c].to_numpy(dtype=object) for c in ("bag", "group", "codes"))
+            bag, group, sketch = (rows[c].to_numpy(dtype=object) for c in ("bag", "group", "sketch"))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for start, end in zip(edges, edges[1:], strict=False):
                 at = np.arange(start, end)
                 left, right = (at[own[at] == i[start]], at[own[at] == j[start]]) if i[start] != j[start] else (at, at)
-                a, b = may_be_alike(left, right, packed, size, threshold)
+                a, b = may_be_alike(left, right, sketch, size, threshold)
                 new = (group[a] != group[b]) & ((a < b) | (i[start] != j[start]))
                 found.append((bag[a[new]], bag[b[new]]))
             columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], []]
@@ -332,30 +334,31 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
     return met.select(*_ordered()).distinct()
 
 
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """Which of ``SKETCH_BITS`` slots hold an odd number of the occurrences, as bytes.
+
+    An occurrence that only one of two bags has changes one bit, so the bits in which two sketches
+    differ are never more than the occurrences in which the bags do.
+    """
+    slots = (own & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+
+
 def may_be_alike(
-    left: np.ndarray, right: np.ndarray, codes: np.ndarray, size: np.ndarray, threshold: float
+    left: np.ndarray, right: np.ndarray, sketch: np.ndarray, size: np.ndarray, threshold: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose shortened occurrences leave a similarity of ``threshold`` possible."""
-    none = np.zeros(0, dtype=np.int64)
+    """Pairs of rows whose sketches leave a similarity of ``threshold`` possible."""
     if not len(left) or not len(right):
-        return none, none
-    rows = np.union1d(left, right)
-    own = [np.frombuffer(codes[r], "<u4") for r in rows]
-    _, code = np.unique(np.concatenate(own), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c in own])
-    at_left, at_right = np.searchsorted(rows, left), np.searchsorted(rows, right)
-    shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    for start in range(0, int(code.max(initial=-1)) + 1, _CODES):
-        on = (code >= start) & (code < start + _CODES)
-        table = np.zeros((len(rows), _CODES), dtype=np.float32)
-        table[owner[on], code[on] - start] = 1
-        shared += table[at_left] @ table[at_right].T
-    # Repetitions may collide when shortened: what is lost of a bag that way is added to what it may share.
-    distinct = np.array([len(c) for c in own])
-    lost = size[rows] - distinct
-    most = shared + np.minimum(lost[at_left][:, None] + lost[at_right][None, :], size[left][:, None] + size[right][None, :])
-    total = (size[left][:, None] + size[right][None, :]).astype(np.float64)
-    a, b = np.nonzero(most * (1 + threshold) >= threshold * total - 1e-6)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def bits(rows: np.ndarray) -> np.ndarray:
+        raw = np.frombuffer(b"".join(sketch[rows]), dtype=np.uint8).reshape(len(rows), -1)
+        return np.unpackbits(raw, axis=1).astype(np.float32)
+
+    x, y = bits(left), bits(right)
+    differ = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - 2 * (x @ y.T)
+    most = (size[left][:, None] + size[right][None, :]) * ((1 - threshold) / (1 + threshold))
+    a, b = np.nonzero(differ <= most + 1e-6)
     return left[a], right[b]
 
 
