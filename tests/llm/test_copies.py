@@ -131,3 +131,33 @@ def test_mix_shares_and_repeats(spark):
     assert abs(sum(target.values()) - 1.5 * total) < 1e-6 * total
     copies = mixing.mixed_documents(docs, rows_per_slice=200).collect()
     assert sum(len(r["text"].split()) for r in copies) == sum(taken.values())
+
+
+def test_prefix_filter_and_sketches_lose_no_pair(spark):
+    """All pairs at or above the threshold, of different groups, come out; repetitions and blocks included."""
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = draw.choices(words, k=draw.randint(30, 160))
+        for _ in range(9):
+            own = list(base)
+            for _ in range(draw.randint(0, 1 + len(own) // 60)):
+                own[draw.randrange(len(own))] = draw.choice(words)
+            texts.append(" ".join(own + own[: draw.choice((0, 0, 40))]))
+    bags = {bagminhash.bag_digest(b): b for b in map(bagminhash.bag, texts)}
+    group = {d: d if i % 3 else "one" for i, d in enumerate(bags)}
+    rows = [(d, group[d], bagminhash._pack(b)) for d, b in bags.items()]
+    table = spark.createDataFrame(rows, "bag string, group string, packed binary")
+    want = {
+        tuple(sorted(p)) for p in itertools.combinations(bags, 2)
+        if group[p[0]] != group[p[1]] and bagminhash.similarity(bags[p[0]], bags[p[1]]) >= 0.8
+    }
+    assert len(want) > 30
+    found = {(r["b"], r["a"]) for r in bagminhash.prefix_pairs(table, 0.8).collect()}
+    assert want <= found and len(found) < 4 * len(want)
+    block, bagminhash.BLOCK = bagminhash.BLOCK, 3
+    try:
+        assert {(r["b"], r["a"]) for r in bagminhash.prefix_pairs(table, 0.8).collect()} == found
+    finally:
+        bagminhash.BLOCK = block
