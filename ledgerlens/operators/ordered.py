@@ -232,7 +232,9 @@ def exact_quantiles(
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bracket_rows)
+    large = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bracket_rows)
+    # Written, so that its size is known before it is joined: the rows are then not shuffled by group.
+    sizes = materialize(large, "large-groups")
     if not sizes.head(1):
         return _counted_quantiles(present, keys, value, probs, rows_per_task)
     marks = materialize(_brackets(present, sizes, keys, value, probs), "brackets")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import ordered
 from ledgerlens.plans.scoring import raw_lines
 from ledgerlens.session import spread
 
@@ -42,3 +43,12 @@ def test_lines_of_one_row_group_are_many_tasks(spark, one_file):
     parts = lines.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert len(parts) == 3 and sum(r["n"] for r in parts) == 80_000
     assert lines.select("source_id").distinct().count() == 80_000
+
+
+def test_sizes_of_large_groups_are_written_before_they_are_joined(spark, monkeypatch):
+    seen = []
+    brackets = ordered._brackets
+    monkeypatch.setattr(ordered, "_brackets", lambda p, sizes, *a: seen.append(sizes.inputFiles()) or brackets(p, sizes, *a))
+    df = spark.range(1_001).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    got = {r["k"]: r["m"] for r in ordered.exact_quantiles(df, ["k"], "v", {"m": 0.5}, bracket_rows=100).collect()}
+    assert got == {0: 500.0, 1: 500.0} and seen[0]
