@@ -1,9 +1,14 @@
 """Tables of one row group are dealt to many tasks; passes over the rows do not move them needlessly."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.models import staged
+from ledgerlens.models import stacking as stk
 from ledgerlens.operators import ordered
+from ledgerlens.plans import learning
 from ledgerlens.plans.scoring import raw_lines
 from ledgerlens.session import spread
 
@@ -45,6 +50,33 @@ def test_lines_of_one_row_group_are_many_tasks(spark, one_file):
     assert lines.select("source_id").distinct().count() == 80_000
 
 
+def test_learning_rows_are_written_once_in_even_files(spark, one_file):
+    df = learning.frame(spark, one_file)
+    assert len([f for f in df.inputFiles() if "/transactions-" in f]) == 3 and df.count() == 80_000
+
+
+@pytest.mark.parametrize("curve, runs", [([0.5] * 100, [10, 100]), ([1.0] * 100, [10])])
+def test_boosting_runs_at_most_twice(monkeypatch, curve, runs):
+    made = []
+    monkeypatch.setattr(staged, "staged_pr_auc", lambda model, val: curve[: made[-1]])
+    monkeypatch.setattr(staged, "first_rounds", lambda model, rounds: rounds)
+    assert staged.boost(made.append, 100, None) == (1, curve[: runs[-1]])
+    assert made == runs
+
+
+def test_staged_scores_do_not_shuffle_the_rows(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(400).select(
+        (F.col("id") % 3 == 0).cast("double").alias("label"), array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features")
+    )
+    model = stk.fit_learner("gbt", {"maxIter": 3, "maxDepth": 2}, rows)
+    long, _ = staged.staged_scores(model, rows)
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(_row", plan)
+    assert long.count() == 1_200
+
+
 def test_sizes_of_large_groups_are_written_before_they_are_joined(spark, monkeypatch):
     seen = []
     brackets = ordered._brackets
