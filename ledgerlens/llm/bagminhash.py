@@ -12,9 +12,9 @@ what is mixed after that goes through a prefix filter, which loses no pair: the
 (a shingle and its i-th repetition) are put in one order for all bags, about the rarest first, and two
 bags of similarity t share one of the first |b| - ceil(t |b|) + 1 of each. Bags that share one are
 compared inside the task they meet in, in blocks of bounded size, by sketches that bound from below in
-how much they differ; only pairs of different groups that can be similar enough leave it. A pair is
-confirmed by the exact
-weighted Jaccard similarity of the two bags. A pair of similarity 0.8 shares no band with probability
+how much they differ; only pairs of different groups that can be similar enough leave it, and a pair that
+meets often leaves one of its meetings: the occurrence that is least for both under the first of a few
+orders in which they agree. A pair is confirmed by the exact weighted Jaccard similarity of the two bags. A pair of similarity 0.8 shares no band with probability
 5e-5.
 
 Words are runs without ASCII white space, A-Z lower-cased. A text of one to four words is one
@@ -50,6 +50,8 @@ SLOT_BITS = 18
 # Bags that meet under one occurrence and task; bits by which they are compared there.
 BLOCK = 512
 SKETCH_BITS = 2048
+# Orders under which two bags look for the occurrence they are paired at.
+HOMES = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,6 +267,10 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
     often[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     order = bags.sparkSession.sparkContext.broadcast(often)
 
+    def first(own: np.ndarray) -> np.ndarray:
+        times = order.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        return own[np.lexsort((own, times))][: prefix_length(len(own), threshold)]
+
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -272,8 +278,7 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
             firsts, sizes = [], []
             for packed in batch["packed"]:
                 own = occurrences(_unpack(packed))
-                times = order.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                firsts.append(own[np.lexsort((own, times))][: prefix_length(len(own), threshold)])
+                firsts.append(first(own))
                 sizes.append(len(own))
             lengths = [len(f) for f in firsts]
             columns = {c: pd.Series(np.repeat(batch[c].to_numpy(dtype=object), lengths), dtype=object) for c in ("bag", "group")}
@@ -298,11 +303,14 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
                 continue
             own = [occurrences(_unpack(p)) for p in batch["packed"]]
             sketches = pd.Series([odd_sketch(o).tobytes() for o in own], dtype=object)
-            yield pd.DataFrame({"bag": batch["bag"].to_numpy(dtype=object), "size": [len(o) for o in own], "sketch": sketches})
+            places = pd.Series([homes(first(o)).tobytes() for o in own], dtype=object)
+            yield pd.DataFrame(
+                {"bag": batch["bag"].to_numpy(dtype=object), "size": [len(o) for o in own], "sketch": sketches, "homes": places}
+            )
 
-    short = bags.select("bag", "packed").mapInPandas(shorten, "bag string, size bigint, sketch binary")
+    short = bags.select("bag", "packed").mapInPandas(shorten, "bag string, size bigint, sketch binary, homes binary")
     short = materialize(short, "odd-sketches")
-    placed = placed.join(short, "bag").select(*turn, "own", "bag", "group", "size", "sketch")
+    placed = placed.join(short, "bag").select(*turn, "own", "bag", "group", "size", "sketch", "homes")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of each occurrence, or of two blocks of it, that may be alike; a run of equal keys is one."""
@@ -310,13 +318,17 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
         def pairs(rows: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
             i, j, own, size = (rows[c].to_numpy(np.int64) for c in ("i", "j", "own", "size"))
             bag, group, sketch = (rows[c].to_numpy(dtype=object) for c in ("bag", "group", "sketch"))
+            occurrence = rows["occurrence"].to_numpy(np.int64).view(np.uint64)
+            home = np.frombuffer(b"".join(rows["homes"]), dtype=np.uint64).reshape(len(rows), HOMES)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for start, end in zip(edges, edges[1:], strict=False):
                 at = np.arange(start, end)
                 left, right = (at[own[at] == i[start]], at[own[at] == j[start]]) if i[start] != j[start] else (at, at)
                 a, b = may_be_alike(left, right, sketch, size, threshold)
                 new = (group[a] != group[b]) & ((a < b) | (i[start] != j[start]))
-                found.append((bag[a[new]], bag[b[new]]))
+                a, b = a[new], b[new]
+                here = paired_at(home[a], home[b], occurrence[start])
+                found.append((bag[a[here]], bag[b[here]]))
             columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], []]
             return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip("ab", columns, strict=True)})
 
@@ -334,6 +346,25 @@ def prefix_pairs(bags: DataFrame, threshold: float) -> DataFrame:
     return met.select(*_ordered()).distinct()
 
 
+def homes(prefix: np.ndarray) -> np.ndarray:
+    """The occurrence of a bag's prefix that comes first under each of ``HOMES`` orders."""
+    if not len(prefix):  # meets nobody
+        return np.zeros(HOMES, dtype=np.uint64)
+    seeds = _mix(np.arange(1, HOMES + 1, dtype=np.uint64) * _GOLDEN)
+    return prefix[_mix(prefix[None, :] ^ seeds[:, None]).argmin(axis=1)]
+
+
+def paired_at(left: np.ndarray, right: np.ndarray, occurrence: np.uint64) -> np.ndarray:
+    """Whether the pairs with these homes leave their meeting under ``occurrence``.
+
+    An equal home is in both prefixes, so the pair meets there as well: the first such one is where it is
+    paired. Without one, every meeting counts.
+    """
+    equal = left == right
+    at = left[np.arange(len(left)), equal.argmax(axis=1)]
+    return ~equal.any(axis=1) | (at == occurrence)
+
+
 def odd_sketch(own: np.ndarray) -> np.ndarray:
     """Which of ``SKETCH_BITS`` slots hold an odd number of the occurrences, as bytes.
 
