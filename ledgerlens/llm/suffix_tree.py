@@ -2,21 +2,23 @@
 
 A text is its words, A-Z lower-cased, joined by single spaces and closed by an end sign; every byte is
 predicted from up to ``DEPTH`` bytes before it (end signs before the first), which reach over word
-borders. A unit is a word with the sign after it and the ``DEPTH`` bytes before it; a text is the sum
-of its units, so the corpus is counted as a table of distinct units, and their bytes as a table of
-distinct grams (context and symbol).
+borders. A byte and its context are a gram.
 
 A context stays in the tree if it occurs ``MIN_COUNT`` times and if the divergence of its next-symbol
 counts from those of its suffix is worth its size: an absolute count, so the tree grows with the
-corpus. Nothing holds the tree: it is a written table, cut into shards along the order of the contexts
-(latest byte first), each shard with the grams of its range and the contexts over them. Distributions
-are smoothed along the suffixes in the tree (Witten-Bell), down to an even one; the longest suffix
-state scores a symbol. The distinct grams are scored in their shards and joined back to the units, and
-the units to the texts. Only the most frequent units are looked up on the spot.
-
-The base is a unigram model over words. Null text counts as empty: one token, the end. Without training
-rows every context is unknown. Rows that repeat are scored one by one. A null id counts as the empty
-text in the choice of fold.
+corpus. Nothing holds the tree: grams in the order of their contexts (latest byte first) are cut into
+shards, and in that order a context lies around all longer ones, so a shard has every context of its
+grams whole, but for those that reach over its two ends. These few are counted beforehand. A shard
+therefore counts, fits and scores its grams by itself. Distributions are smoothed along the suffixes in
+the tree (Witten-Bell), down to an even one; the longest suffix state scores a symbol.
+
+Texts go in packs of some megabytes. A pack sends every shard the sorted distinct grams of its range,
+each as what differs from the one before, and gets their logarithms back in the same order. No gram is
+a row of a table. ``fit_levels`` writes the same tree as a table, for whoever wants to read it.
+
+The base is a unigram model over words; only the most frequent words are looked up on the spot. Null
+text counts as empty: one token, the end. Without training rows every context is unknown. Rows that
+repeat are scored one by one. A null id counts as the empty text in the choice of fold.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD, lower_ascii, remainder, small_batches, whole
+from ledgerlens.llm.common import WORD, remainder, small_batches, whole
 from ledgerlens.session import materialize
 
 DEPTH = 8
@@ -40,15 +44,22 @@ HIGH = 8
 MIN_COUNT = 5
 # Divergence, in nats weighted by counts, that a context must bring per next symbol it stores.
 WORTH = 2.0
-HEAD_UNITS = 100_000
+HEAD_WORDS = 100_000
 HEAD_BYTES = 64
 HELD_OUT = (7, 2)
-SHARD_GRAMS = 400_000
+# Bytes of text a shard has on average.
+SHARD_GRAMS = 3_000_000
+PACK_BYTES = 28 << 20
 # Depth of the trees that one process holds: small corpora, with which the shards are compared.
 SMALL_DEPTH = 5
 _CHUNK = 1_000_000
 _FLUSH_UNITS = 300_000
-_UNIT_BATCH = 20_000
+# Positions that are looked at together, and texts of which all give borders of shards.
+_GROUP = 1 << 22
+_SAMPLED = 32 << 20
+# Words are counted and looked up over so many bytes or texts at once.
+_WORD_BYTES = 32 << 20
+_WORD_ROWS = 4096
 END = 10  # no byte of a word
 
 
@@ -281,17 +292,6 @@ def count_grams(units: DataFrame, depth: int = DEPTH) -> DataFrame:
     return materialize(found.groupBy("hi", "lo").agg(F.sum("n").alias("n")), "grams")
 
 
-def shard_bounds(grams: DataFrame, shard_grams: int = SHARD_GRAMS) -> list[int]:
-    """Fixed values of ``hi`` at which shards begin; one shard holds all grams of a ``hi``."""
-    n = grams.count()
-    shards = -(-n // shard_grams)
-    if shards < 2:
-        return []
-    drawn = grams.select("hi").sample(min(1.0, 50 * shards / n), seed=1).toPandas()["hi"].to_numpy(np.int64)
-    drawn.sort()
-    return sorted({int(drawn[i * len(drawn) // shards]) for i in range(1, shards)}) if len(drawn) else []
-
-
 def in_shards(grams: DataFrame, bounds: list[int]) -> DataFrame:
     @F.pandas_udf("int")
     def shard(hi: pd.Series) -> pd.Series:
@@ -352,148 +352,434 @@ def fit_levels(sharded: DataFrame, min_count: int = MIN_COUNT, worth: float = WO
     return materialize(tree, "tree")
 
 
-def score_grams(sharded: DataFrame, tree: DataFrame, bounds: list[int], depth: int = DEPTH) -> DataFrame:
-    """(hi, lo, log): log10 probability of the symbol of every distinct gram."""
-    high = min(depth, HIGH)
+PACK = "pack bigint, uid array<bigint>, size array<bigint>, n array<bigint>, body binary"
+GRAMS = "shard int, pack bigint, lead int, size bigint, planes array<binary>"
+TRUNK = "k int, context bigint, symbol int, n bigint"
+LOGS = "pack bigint, lead int, shard int, size bigint, logs binary"
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Every context in each shard that has grams of its range."""
-        edges = np.array(bounds, dtype=np.int64)
-        for rows in batches:
-            k, hi = rows["k"].to_numpy(np.int64), rows["hi"].to_numpy(np.int64)
-            shift = np.where(k < high, 8 * (high - k), 0)
-            shift[k == 0] = 0
-            low = hi << shift
-            first = np.searchsorted(edges, low, side="right")
-            last = np.searchsorted(edges, low | ((np.int64(1) << shift) - 1), side="right")
-            first[k == 0], last[k == 0] = 0, len(edges)
-            out = rows.loc[rows.index.repeat(last - first + 1)].reset_index(drop=True)
-            times = last - first + 1
-            out["shard"] = np.arange(len(out)) - np.repeat(np.cumsum(times) - times - first, times)
-            yield out
-
-    def score(states: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        hi, lo = own["hi"].to_numpy(np.int64), own["lo"].to_numpy(np.int64)
-        values = np.unique(hi)
-        p = np.full(len(own), 1 / 256)
-
-        def context(h: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
-            return (np.searchsorted(values, h) << 32) | low if k > high else h
-
-        for k, level in states.groupby("k", sort=True):
-            ids = context(level["hi"].to_numpy(np.int64), level["lo"].to_numpy(np.int64), k)
-            contexts, first, at = np.unique(ids, return_index=True, return_inverse=True)
-            totals = level["total"].to_numpy(np.float64)[first]
-            fan = np.bincount(at).astype(np.float64)
-            keys = (at << 8) | level["symbol"].to_numpy(np.int64)
-            order = np.argsort(keys)
-            n = level["n"].to_numpy(np.float64)[order]
-            where, known = _find(contexts, context(*_at_level(hi, lo, k, depth), k))
-            place, seen = _find(keys[order], (where << 8) | (lo & 255))
-            c = np.where(known & seen, n[place], 0.0)
-            p = np.where(known, (c + fan[where] * p) / (totals[where] + fan[where]), p)
-        return pd.DataFrame({"hi": hi, "lo": lo, "log": np.log10(p)})
 
-    shards = tree.mapInPandas(cover, f"{LEVEL}, total bigint, shard int").groupBy("shard")
-    return shards.cogroup(sharded.groupBy("shard")).applyInPandas(score, "hi bigint, lo bigint, log double")
+def pack_units(units: DataFrame) -> DataFrame:
+    """Some megabytes of (uid, unit, n) a row, by n. ``units`` is a written table, so every reading packs alike."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 33
+        held, size = [], 0
+        for batch in batches:
+            lengths = batch["unit"].map(len).to_numpy(np.int64)
+            if held and size + lengths.sum() > PACK_BYTES:
+                yield _packed(number, held)
+                number, held, size = number + 1, [], 0
+            held.append(batch)
+            size += lengths.sum()
+        if held:
+            yield _packed(number, held)
+
+    return units.select("uid", "unit", "n").mapInPandas(pack, PACK)
+
+
+def _packed(number: int, held: list[pd.DataFrame]) -> pd.DataFrame:
+    rows = pd.concat(held, ignore_index=True).sort_values("n", kind="stable")
+    body = pa.compress(b"".join(rows["unit"].tolist()), codec="zstd", asbytes=True)
+    sizes = rows["unit"].map(len).to_numpy(np.int64)
+    row = {"pack": number, "uid": rows["uid"].to_numpy(np.int64), "size": sizes, "n": rows["n"].to_numpy(np.int64), "body": body}
+    return pd.DataFrame([row])
+
+
+class Pack:
+    """The bytes of a pack, and where those are that a context stands before."""
+
+    def __init__(self, size: np.ndarray, body: bytes, depth: int):
+        self.size, self.depth = np.asarray(size, dtype=np.int64), depth
+        padded = bytes(8) + pa.decompress(body, int(self.size.sum()), codec="zstd", asbytes=True)
+        self.raw = np.frombuffer(padded, dtype=np.uint8)[8:]
+        # The eight bytes before every place as one number, the latest first.
+        self.before = np.ndarray(len(self.raw), dtype="<u8", buffer=padded, strides=(1,))
+        self.ends = np.cumsum(self.size)
+        self.scored = np.ones(len(self.raw), dtype=bool)
+        for j in range(depth):
+            self.scored[self.ends - self.size + j] = False
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        """The units of places in order."""
+        return np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(at, self.ends), prepend=0))
+
+    def leads(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Places by the byte before them, in its order."""
+        before = np.zeros_like(self.raw)
+        before[1:] = self.raw[:-1]
+        sums = np.cumsum(np.bincount(before, minlength=256))
+        low = 0
+        while low < 256:
+            done = sums[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(sums, done + _GROUP, side="right")))
+            at = np.flatnonzero(self.scored & (before >= low) & (before < high))
+            lead = before[at]
+            at = at[np.argsort(lead, kind="stable")]
+            cuts = np.cumsum(np.bincount(lead, minlength=256))
+            for b in range(low, min(high, 256)):
+                if own := int(cuts[b] - (cuts[b - 1] if b else 0)):
+                    yield b, at[cuts[b] - own : cuts[b]]
+            low = high
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """The context without its latest byte, which is known, and the symbol: one number."""
+        context = self.before[at] >> np.uint64(8 * (8 - self.depth))
+        return ((context & np.uint64(256 ** (self.depth - 1) - 1)) << np.uint64(8)) | self.raw[at]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    starts = np.flatnonzero(_runs(keys))
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
+def count_keys(keys: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and what ``n`` adds up to for each; ``n`` holds up to the next of ``cuts``."""
+    ends = np.append(cuts[1:], len(keys))
+    if len(n) > 2:
+        found, where = np.unique(keys, return_inverse=True)
+        return found, np.bincount(where, weights=np.repeat(n, ends - cuts)).astype(np.int64)
+    found, times = _distinct(keys)
+    if len(n) == 1:
+        return found, times * n[0]
+    counts = np.zeros(len(found), dtype=np.int64)
+    for times_n, low, high in zip(n.tolist(), cuts, ends, strict=True):
+        if times_n and high > low:
+            counted, times = _distinct(keys[low:high])
+            counts[np.searchsorted(found, counted)] += times * times_n
+    return found, counts
+
+
+def _squeeze(column: np.ndarray) -> bytes:
+    return pa.compress(column.tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(raw: bytes, n: int, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), dtype=kind)
+
+
+def encode_keys(keys: np.ndarray, n: np.ndarray, depth: int) -> list[bytes]:
+    """Sorted keys: how many bytes are those of the key before, the others place by place, and the counts."""
+    differs = np.zeros(len(keys), dtype=bool)
+    differs[0] = True
+    same, planes = np.zeros(len(keys), dtype=np.uint8), []
+    for j in range(depth):
+        plane = (keys >> np.uint64(8 * (depth - 1 - j))).astype(np.uint8)
+        differs[1:] |= plane[1:] != plane[:-1]
+        same += ~differs
+        planes.append(_squeeze(plane[differs]))
+    return [_squeeze(same), *planes, _squeeze(np.minimum(n, 255).astype(np.uint8)), _squeeze(n[n >= 255].astype(np.int64))]
+
+
+def decode_keys(planes: list[bytes], size: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    same = _expand(planes[0], size)
+    keys = np.zeros(size, dtype=np.uint64)
+    for j in range(depth):
+        differs = same <= j
+        times = np.cumsum(differs)
+        keys = (keys << np.uint64(8)) | _expand(planes[1 + j], int(times[-1]))[times - 1]
+    n = _expand(planes[1 + depth], size).astype(np.int64)
+    large = np.flatnonzero(n == 255)
+    n[large] = _expand(planes[2 + depth], len(large), np.int64)
+    return keys, n
+
+
+def _context(lead: int, keys: np.ndarray, depth: int) -> np.ndarray:
+    """The whole contexts of keys, the latest byte first."""
+    return (keys >> np.uint64(8)) | np.uint64(lead << 8 * (depth - 1))
+
+
+def _prefix(contexts: np.ndarray, k: int, depth: int) -> np.ndarray:
+    """The last ``k`` bytes of whole contexts."""
+    return contexts >> np.uint64(8 * (depth - k)) if k else np.zeros_like(contexts)
+
+
+def shard_bounds(units: DataFrame, shard_grams: int = SHARD_GRAMS, depth: int = DEPTH) -> list[int]:
+    """Fixed contexts at which shards begin, drawn evenly from the distinct grams of texts."""
+    total = units.agg(F.sum(F.octet_length("unit"))).first()[0] or 0
+    shards = -(-total // shard_grams)
+    if shards < 2:
+        return []
+    every = 1 if total < _SAMPLED else 8
+    draws = 50 * shards * every / total
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, size, body in zip(batch["pack"], batch["size"], batch["body"], strict=True):
+                pack = Pack(size, body, depth)
+                found = np.concatenate([_context(b, _distinct(pack.keys(at))[0], depth) for b, at in pack.leads()])
+                rng = np.random.default_rng(number)
+                yield pd.DataFrame({"context": rng.choice(found, int(np.ceil(draws * len(pack.raw)))).view(np.int64)})
+
+    sample = units.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0)
+    drawn = pack_units(sample).mapInPandas(draw, "context bigint").toPandas()["context"].to_numpy(np.int64).view(np.uint64)
+    drawn.sort()
+    return sorted({int(drawn[i * len(drawn) // shards]) for i in range(1, shards)}) if len(drawn) else []
+
+
+def count_trunk(packs: DataFrame, bounds: list[int], depth: int = DEPTH) -> DataFrame:
+    """(shard, k, context, symbol, n): counts of the contexts that may reach over an end of the shard."""
+
+    def trunk_levels() -> list[np.ndarray]:
+        edges = np.array(bounds, dtype=np.uint64)
+        return [_prefix(edges, k, depth) for k in range(depth)]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels = [np.unique(level) for level in trunk_levels()]
+        for batch in batches:
+            for size, n, body in zip(batch["size"], batch["n"], batch["body"], strict=True):
+                pack = Pack(size, body, depth)
+                values, first = np.unique(n, return_index=True)
+                starts = (pack.ends - pack.size)[first].tolist()
+                for times, low, high in zip(values.tolist(), starts, [*starts[1:], len(pack.raw)], strict=True):
+                    for start in range(low, high if times else low, _GROUP):
+                        at = start + np.flatnonzero(pack.scored[start : min(high, start + _GROUP)])
+                        for k, level in enumerate(levels):
+                            value = _prefix(pack.before[at], k, 8)
+                            if k <= 2:
+                                places = np.full(256**k, -1)
+                                places[level.astype(np.int64)] = np.arange(len(level))
+                                place = places[value.astype(np.int64)]
+                                known = place >= 0
+                            else:
+                                place, known = _find(level, value)
+                            if not known.all():
+                                at, place = at[known], place[known]
+                            if not len(at):
+                                break
+                            sums = np.bincount((place << 8) | pack.raw[at])
+                            rows = np.flatnonzero(sums)
+                            context = level[rows >> 8].view(np.int64)
+                            yield pd.DataFrame({"k": k, "context": context, "symbol": rows & 255, "n": sums[rows] * times})
+
+    def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels = trunk_levels()
+        for rows in batches:
+            for k, own in rows.groupby("k"):
+                context = own["context"].to_numpy(np.int64).view(np.uint64)
+                first = np.searchsorted(levels[k], context)
+                times = np.searchsorted(levels[k], context, side="right") - first + 1
+                out = own.loc[own.index.repeat(times)].reset_index(drop=True)
+                out["shard"] = np.arange(len(out)) - np.repeat(np.cumsum(times) - times - first, times)
+                yield out
+
+    found = packs.mapInPandas(count, TRUNK).groupBy("k", "context", "symbol").agg(F.sum("n").alias("n"))
+    return found.mapInPandas(to_shards, f"{TRUNK}, shard int")
+
+
+def score_shard(
+    context: np.ndarray, symbol: np.ndarray, n: np.ndarray, trunk: pd.DataFrame, min_count: int, worth: float, depth: int
+) -> np.ndarray:
+    """log10 probability of the symbol of every gram, given in order; the tree is fitted level by level."""
+    levels, size = [], len(context)
+    for k in range(depth, -1, -1):
+        if k < depth:
+            context = context >> np.uint64(8) if k else np.zeros_like(context)
+            new = _runs(context)
+            run, contexts = np.cumsum(new) - 1, context[new]
+            # A context that reaches over an end has its whole counts, and the symbols it only has elsewhere.
+            whole_n = trunk[trunk["k"] == k]
+            place, here = _find(contexts, whole_n["context"].to_numpy(np.int64).view(np.uint64))
+            whole_n, place = whole_n[here], place[here]
+            keys = np.concatenate([(run << 8) | symbol, (place << 8) | whole_n["symbol"].to_numpy(np.int64)])
+            order = np.argsort(keys, kind="stable")
+            new = _runs(keys[order])
+            up = np.empty(len(keys), dtype=np.int64)
+            up[order] = np.cumsum(new) - 1
+            rows = keys[order[new]]
+            n = np.bincount(up[: len(n)], weights=n, minlength=len(rows)).astype(np.int64)
+            n[np.isin(rows >> 8, place)] = 0
+            n[up[len(run) :]] = whole_n["n"].to_numpy(np.int64)
+            context, symbol = contexts[rows >> 8], rows & 255
+            levels[-1]["up"] = up[: len(run)]
+        starts = np.flatnonzero(_runs(context))
+        fan = np.add.reduceat((n > 0).astype(np.int64), starts)
+        times = np.diff(np.append(starts, len(context)))
+        levels.append({"n": n, "starts": starts, "times": times, "total": np.add.reduceat(n, starts), "fan": fan})
+    p = np.empty(0)
+    for k in range(depth + 1):
+        own = levels[depth - k]
+        n, total, fan = own["n"].astype(np.float64), np.repeat(own["total"], own["times"]), np.repeat(own["fan"], own["times"])
+        if k:
+            below, up = levels[depth - k + 1], own["up"]
+            p = p[up]
+            share = below["n"][up] / np.maximum(np.repeat(below["total"], below["times"])[up], 1)
+            some = np.flatnonzero(n)
+            gain = np.zeros(len(n))
+            gain[some] = n[some] * np.log(n[some] / total[some] / share[some])
+            kept = (own["total"] >= min_count) & (np.add.reduceat(gain, own["starts"]) >= own["fan"] * worth)
+        else:
+            p, kept = np.full(len(n), 1 / 256), own["total"] > 0
+        p = np.where(np.repeat(kept, own["times"]), (n + fan * p) / np.maximum(total + fan, 1), p)
+    return np.log10(p[:size])
 
 
 def score_units(
     units: DataFrame, min_count: int = MIN_COUNT, worth: float = WORTH, depth: int = DEPTH, shard_grams: int = SHARD_GRAMS
 ) -> DataFrame:
-    """(uid, log): log10 probability of the bytes of every unit, by the tree of the training counts."""
+    """(uid, log): log10 probability of the bytes of every unit, by the tree of the counts ``n``.
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``units`` (uid, unit, n) is a written table; a unit is any bytes with the ``depth`` bytes before them.
+    """
+    bounds = shard_bounds(units, shard_grams, depth)
+    packs = pack_units(units)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The distinct grams of a pack, those of a shard in a row for each byte before the symbol."""
+        edges = np.array(bounds, dtype=np.uint64)
         for batch in batches:
-            all_units, uid = batch["unit"].tolist(), batch["uid"].to_numpy(np.int64)
-            for part in _slices(all_units):
-                owner, hi, lo = unit_grams(all_units[part], depth)
-                yield pd.DataFrame({"uid": uid[part][owner], "hi": hi, "lo": lo})
-
-    small_batches(units.sparkSession, _UNIT_BATCH)
-    grams = count_grams(units, depth)
-    bounds = shard_bounds(grams, shard_grams)
-    sharded = in_shards(grams, bounds)
-    logs = score_grams(sharded, fit_levels(sharded, min_count, worth, depth), bounds, depth)
-    spelled = units.select("uid", "unit").mapInPandas(spell, "uid bigint, hi bigint, lo bigint")
-    out = materialize(spelled.join(logs, ["hi", "lo"]).groupBy("uid").agg(F.sum("log").alias("log")), "unit-logs")
-    small_batches(units.sparkSession)
-    return out
+            for number, size, n, body in zip(batch["pack"], batch["size"], batch["n"], batch["body"], strict=True):
+                pack = Pack(size, body, depth)
+                values, first = np.unique(n, return_index=True)
+                starts = (pack.ends - pack.size)[first]
+                for lead, at in pack.leads():
+                    keys, counts = count_keys(pack.keys(at), values, np.searchsorted(at, starts))
+                    cuts = np.searchsorted(_context(lead, keys, depth), edges)
+                    first = np.append(0, cuts)
+                    last = np.append(cuts, len(keys))
+                    shards = np.flatnonzero(last > first)
+                    parts = [slice(first[i], last[i]) for i in shards]
+                    planes = [encode_keys(keys[part], counts[part], depth) for part in parts]
+                    sizes = (last - first)[shards]
+                    yield pd.DataFrame({"shard": shards, "pack": number, "lead": lead, "size": sizes, "planes": planes})
+
+    def score(grams: pd.DataFrame, trunk: pd.DataFrame) -> pd.DataFrame:
+        """The logarithms of the grams of a shard, row by row as they came."""
+        contexts, symbols, counts, places, base = [], [], [], {}, 0
+        for lead, rows in grams.groupby("lead", sort=True):
+            sent = [decode_keys(p, n, depth) for p, n in zip(rows["planes"], rows["size"], strict=True)]
+            keys = np.concatenate([k for k, _ in sent])
+            order = np.argsort(keys, kind="stable")
+            new = _runs(keys[order])
+            where = np.empty(len(keys), dtype=np.int64)
+            where[order] = np.cumsum(new) - 1
+            keys = keys[order[new]]
+            contexts.append(_context(int(lead), keys, depth))
+            symbols.append((keys & np.uint64(255)).astype(np.int64))
+            counts.append(np.bincount(where, weights=np.concatenate([n for _, n in sent])).astype(np.int64))
+            for i, part in zip(rows.index, np.split(where + base, np.cumsum(rows["size"])[:-1]), strict=True):
+                places[i] = part
+            base += len(keys)
+        if not base:
+            return pd.DataFrame({"pack": [], "lead": [], "shard": [], "size": [], "logs": []})
+        logs = score_shard(*map(np.concatenate, (contexts, symbols, counts)), trunk, min_count, worth, depth)
+        out = grams[["pack", "lead", "shard", "size"]].copy()
+        out["logs"] = [_squeeze(logs[places[i]]) for i in grams.index]
+        return out
+
+    def add_up(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """The logarithms of every place of a pack, added up by unit."""
+        size, body, uid = rows["size"].iloc[0], rows["body"].iloc[0], rows["uid"].iloc[0]
+        pack = Pack(size, body, depth)
+        sums = np.zeros(len(pack.size))
+        by_lead = dict(list(found.sort_values("shard").groupby("lead")))
+        for lead, at in pack.leads():
+            logs = np.concatenate([_expand(z, n, np.float64) for z, n in zip(by_lead[lead]["logs"], by_lead[lead]["size"], strict=True)])
+            keys = pack.keys(at)
+            order = np.argsort(keys)
+            each = np.empty(len(at))
+            each[order] = logs[np.cumsum(_runs(keys[order])) - 1]
+            sums += np.bincount(pack.owners(at), weights=each, minlength=len(sums))
+        return pd.DataFrame({"uid": uid, "log": sums})
+
+    sent = packs.mapInPandas(send, GRAMS).groupBy("shard")
+    logs = sent.cogroup(count_trunk(packs, bounds, depth).groupBy("shard")).applyInPandas(score, LOGS)
+    out = packs.groupBy("pack").cogroup(logs.groupBy("pack")).applyInPandas(add_up, "uid bigint, log double")
+    return materialize(out, "unit-logs")
 
 
-def score_texts(docs: DataFrame, head_units: int = HEAD_UNITS) -> DataFrame:
+def _words(units: list[bytes]) -> pa.Array:
+    return pa.array(b"".join(units).split(), pa.binary())
+
+
+def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     small_batches(docs.sparkSession)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [t.lower().split() for t in batch.pop("text")]
+            batch["n_tokens"] = [len(w) + 1 for w in words]
+            batch["unit"] = [bytes([END]) * DEPTH + b" ".join(w) + bytes([END]) for w in words]
+            yield batch
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # Bytes are lower-cased and split at ASCII signs only.
     rows = docs.select(
-        "doc_id", (remainder("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), lower_ascii(whole()).alias("text")
-    )
-    word = F.expr(f"substring(unit, {DEPTH + 1}, octet_length(unit) - {DEPTH + 1})")
-    units = count_units(rows).withColumn("word", word)
-    # The one unit of an empty text has no word; every text has one unit that ends it.
-    words = units.where("octet_length(word) > 0").groupBy("word").agg(F.sum("n").alias("word_n"))
+        F.monotonically_increasing_id().alias("uid"), "doc_id", (remainder("doc_id", HELD_OUT[0]) != HELD_OUT[1]).cast("bigint").alias("n"),
+        whole().cast("binary").alias("text"),
+    )
+    rows = rows.mapInPandas(spell, f"uid bigint, doc_id {kind}, n bigint, n_tokens bigint, unit binary")
+    rows = materialize(rows, "texts", compression="zstd")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def out() -> pa.RecordBatch:
+            found = pc.value_counts(_words(held))
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+
+        for batch in batches:
+            held += batch.column("unit").to_pylist()
+            if sum(map(len, held)) > _WORD_BYTES:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    training = rows.where("n > 0")
+    # An end sign splits as a space does.
+    words = training.select("unit").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
-    known_words = words.where("word_n > 0")
-    in_words, distinct = known_words.agg(F.coalesce(F.sum("word_n"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = units.where(F.expr(f"substring(unit, -1, 1) = X'{END:02X}'")).agg(F.sum("n")).first()[0] or 0
+    in_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = training.count()
     total, mass = in_words + ends, in_words + ends + distinct + int(ends > 0) + 1
-    log_end = math.log10((ends + 1) / mass)
-    base = F.when(F.octet_length("word") > 0, F.log10((F.coalesce("word_n", F.lit(0)) + 1) / F.lit(float(mass)))).otherwise(0.0)
-    logs = units.join(score_units(units.select("uid", "unit", "n")), "uid").join(words, "word", "left")
-    logs = logs.select("unit", "n", "log", base.alias("base"), (F.coalesce("word_n", F.lit(0)) > 0).alias("known"))
-    logs = materialize(logs, "scored-units")
-    short = logs.where((F.octet_length("unit") <= HEAD_BYTES) & (F.col("n") > 0))
-    top = short.orderBy(F.desc("n"), "unit").limit(head_units).select("unit", "base", "log", "known").collect()
-    head = {bytes(r["unit"]): (r["base"], r["log"], int(r["known"])) for r in top}
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per document, and a row per document and unit that is not among the frequent ones."""
-        row = TaskContext.get().partitionId() << 33
+    log_end, log_new = math.log10((ends + 1) / mass), math.log10(1 / mass)
+    short = words.where(F.octet_length("word") <= HEAD_BYTES)
+    head = {bytes(r["word"]): int(r["n"]) for r in short.orderBy(F.desc("n"), "word").limit(head_words).collect()}
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per text, and a row per text and word that is not among the frequent ones."""
+        known_words = pa.array(list(head), pa.binary())
+        known_logs = np.array([math.log10((n + 1) / mass) for n in head.values()] + [0.0])
+        held: list = []
         for batch in batches:
-            ids, held = batch["doc_id"].tolist(), batch["held_out"].tolist()
-            i = 0
-            for chunk in _chunks(batch["text"].tolist()):
-                main, tail = [], {"row": [], "unit": [], "times": []}
-                for t in chunk:
-                    base, log, known = log_end, 0.0, int(ends > 0)
-                    for u, times in Counter(units_of(t)).items():
-                        found = head.get(u)
-                        if found is None:
-                            tail["row"].append(row)
-                            tail["unit"].append(u)
-                            tail["times"].append(times)
-                        else:
-                            base += found[0] * times
-                            log += found[1] * times
-                            known += found[2] * times
-                    main.append((row, ids[i], held[i], len(t) + 1, known, base, log))
-                    row += 1
-                    i += 1
-                frame = pd.DataFrame(main, columns=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame["known"] = frame["known"].astype("Int64")
-                out = pd.concat([frame, pd.DataFrame(tail)], ignore_index=True)
-                out["held_out"] = out["held_out"].astype("boolean")
-                out["unit"] = pd.Series([None] * len(main) + tail["unit"], dtype=object)
-                yield out[["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "unit", "times"]].astype(
-                    {"row": "int64", "doc_id": "Int64", "n_tokens": "Int64", "known": "Int64", "times": "Int64"}
-                )
-
-    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, unit binary, times bigint"
-    passed = materialize(rows.mapInPandas(scored, schema), "scores")
-    tail = passed.where("unit IS NOT NULL").select("row", "unit", "times").join(logs.select("unit", "log", "base", "known"), "unit")
-    rare = tail.groupBy("row").agg(
-        F.sum(F.col("times") * F.col("base")).alias("rare_base"),
-        F.sum(F.col("times") * F.col("log")).alias("rare_score"),
-        F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("rare_known"),
+            held.append(batch)
+            if sum(len(h) for h in held) >= _WORD_ROWS:
+                yield looked_up(pd.concat(held, ignore_index=True), known_words, known_logs)
+                held = []
+        if held:
+            yield looked_up(pd.concat(held, ignore_index=True), known_words, known_logs)
+
+    def looked_up(rows: pd.DataFrame, known_words: pa.Array, known_logs: np.ndarray) -> pd.DataFrame:
+        coded = _words(rows["unit"].tolist()).dictionary_encode()
+        owner = np.repeat(np.arange(len(rows)), rows["n_tokens"] - 1)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known_words), -1).to_numpy(zero_copy_only=False)[code]
+        known, uid = place >= 0, rows["uid"].to_numpy(np.int64)
+        logs = np.bincount(owner, weights=known_logs[place], minlength=len(uid))
+        frame = pd.DataFrame({"uid": uid, "known": int(ends > 0) + np.bincount(owner[known], minlength=len(uid)), "base": log_end + logs})
+        pairs, times = np.unique((owner[~known] << 32) | code[~known], return_counts=True)
+        rare = coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).to_pylist()
+        out = pd.concat([frame, pd.DataFrame({"uid": uid[pairs >> 32], "times": times})], ignore_index=True)
+        out["word"] = pd.Series([None] * len(frame) + rare, dtype=object)
+        return out[["uid", "known", "base", "word", "times"]].astype({"uid": "int64", "known": "Int64", "times": "Int64"})
+
+    passed = rows.select("uid", "n_tokens", "unit").mapInPandas(look_up, "uid bigint, known bigint, base double, word binary, times bigint")
+    passed = materialize(passed, "base-scores")
+    tail = passed.where("word IS NOT NULL").select("uid", "word", "times").join(words, "word", "left")
+    rare = tail.groupBy("uid").agg(
+        F.sum(F.col("times") * F.coalesce(F.log10((F.col("n") + 1) / F.lit(float(mass))), F.lit(log_new))).alias("rare_base"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    main = passed.where("unit IS NULL").join(rare, "row", "left")
-    return main.select(
+    main = rows.select("uid", "doc_id", (F.col("n") == 0).alias("held_out"), "n_tokens")
+    main = main.join(passed.where("word IS NULL").select("uid", "known", "base"), "uid").join(rare, "uid", "left")
+    return main.join(score_units(rows.select("uid", "unit", "n")), "uid").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        F.col("log").alias("score"),
     )
