@@ -60,6 +60,7 @@ _SAMPLED = 32 << 20
 # Words are counted and looked up over so many bytes or texts at once.
 _WORD_BYTES = 32 << 20
 _WORD_ROWS = 4096
+_LOG_BITS = 12  # of 52, that a logarithm sent back does without
 END = 10  # no byte of a word
 
 
@@ -355,7 +356,7 @@ def fit_levels(sharded: DataFrame, min_count: int = MIN_COUNT, worth: float = WO
 PACK = "pack bigint, uid array<bigint>, size array<bigint>, n array<bigint>, body binary"
 GRAMS = "shard int, pack bigint, lead int, size bigint, planes array<binary>"
 TRUNK = "k int, context bigint, symbol int, n bigint"
-LOGS = "pack bigint, lead int, shard int, size bigint, logs binary"
+LOGS = "pack bigint, lead int, shard int, size bigint, logs array<binary>"
 
 
 def pack_units(units: DataFrame) -> DataFrame:
@@ -484,6 +485,30 @@ def decode_keys(planes: list[bytes], size: int, depth: int) -> tuple[np.ndarray,
     return keys, n
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, first all lowest ones."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+
+
+def encode_logs(logs: np.ndarray) -> list[bytes]:
+    """Each value once, where new ones stand, and how far the others go back. Kept to a relative 5e-13."""
+    rounded = ((logs.view(np.uint64) + np.uint64(1 << _LOG_BITS - 1)) >> np.uint64(_LOG_BITS)) << np.uint64(_LOG_BITS)
+    codes, values = pd.factorize(rounded)
+    latest = np.maximum.accumulate(codes)
+    new = np.append(True, latest[1:] > latest[:-1])
+    back = (latest - codes)[~new].astype(np.uint32)
+    return [_squeeze(np.packbits(new)), _squeeze(_planes(values)), _squeeze(_planes(back))]
+
+
+def decode_logs(columns: list[bytes], size: int) -> np.ndarray:
+    new = np.unpackbits(_expand(columns[0], -(-size // 8)), count=size).astype(bool)
+    codes = np.cumsum(new) - 1
+    n = int(codes[-1]) + 1
+    back = np.ascontiguousarray(_expand(columns[2], 4 * (size - n)).reshape(4, -1).T).view(np.uint32).ravel()
+    codes[~new] -= back
+    return np.ascontiguousarray(_expand(columns[1], 8 * n).reshape(8, -1).T).view(np.float64).ravel()[codes]
+
+
 def _context(lead: int, keys: np.ndarray, depth: int) -> np.ndarray:
     """The whole contexts of keys, the latest byte first."""
     return (keys >> np.uint64(8)) | np.uint64(lead << 8 * (depth - 1))
@@ -525,32 +550,39 @@ def count_trunk(packs: DataFrame, bounds: list[int], depth: int = DEPTH) -> Data
         return [_prefix(edges, k, depth) for k in range(depth)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = [np.unique(level) for level in trunk_levels()]
-        for batch in batches:
+        levels = [np.unique(level) for level in trunk_levels()] if bounds else []
+        for batch in batches if bounds else ():
             for size, n, body in zip(batch["size"], batch["n"], batch["body"], strict=True):
                 pack = Pack(size, body, depth)
                 values, first = np.unique(n, return_index=True)
                 starts = (pack.ends - pack.size)[first].tolist()
                 for times, low, high in zip(values.tolist(), starts, [*starts[1:], len(pack.raw)], strict=True):
-                    for start in range(low, high if times else low, _GROUP):
-                        at = start + np.flatnonzero(pack.scored[start : min(high, start + _GROUP)])
-                        for k, level in enumerate(levels):
-                            value = _prefix(pack.before[at], k, 8)
-                            if k <= 2:
-                                places = np.full(256**k, -1)
-                                places[level.astype(np.int64)] = np.arange(len(level))
-                                place = places[value.astype(np.int64)]
-                                known = place >= 0
-                            else:
-                                place, known = _find(level, value)
-                            if not known.all():
-                                at, place = at[known], place[known]
-                            if not len(at):
-                                break
-                            sums = np.bincount((place << 8) | pack.raw[at])
-                            rows = np.flatnonzero(sums)
-                            context = level[rows >> 8].view(np.int64)
-                            yield pd.DataFrame({"k": k, "context": context, "symbol": rows & 255, "n": sums[rows] * times})
+                    for start in range(max(low, min(depth, 2)), high if times else 0, _GROUP):
+                        yield from slice_counts(pack, start, min(high, start + _GROUP), times, levels)
+
+    def slice_counts(pack: Pack, low: int, high: int, times: int, levels: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        def rows(k: int, contexts: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+            some = np.flatnonzero(sums)
+            context = contexts[some >> 8].view(np.int64)
+            return pd.DataFrame({"k": k, "context": context, "symbol": some & 255, "n": sums[some] * times})
+
+        # The first levels from pairs and triples of bytes, the deeper ones where the level above has the context.
+        latest, scored = pack.raw[low - 1 : high - 1].astype(np.uint16) << 8, pack.scored[low:high]
+        pairs = np.bincount((latest | pack.raw[low:high])[scored], minlength=1 << 16).reshape(256, 256)
+        yield rows(0, levels[0], pairs.sum(axis=0))
+        if depth > 1:
+            yield rows(1, levels[1], pairs[levels[1].astype(np.int64)].ravel())
+        at = np.empty(0, dtype=np.int64)
+        if depth > 2:
+            reached = np.zeros(1 << 16, dtype=bool)
+            reached[levels[2].astype(np.int64)] = True
+            at = low + np.flatnonzero(scored & reached[latest | pack.raw[low - 2 : high - 2]])
+        for k in range(2, depth):
+            place, known = _find(levels[k], _prefix(pack.before[at], k, 8))
+            at, place = (at, place) if known.all() else (at[known], place[known])
+            if not len(at):
+                return
+            yield rows(k, levels[k], np.bincount((place << 8) | pack.raw[at]))
 
     def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = trunk_levels()
@@ -664,7 +696,7 @@ def score_units(
             return pd.DataFrame({"pack": [], "lead": [], "shard": [], "size": [], "logs": []})
         logs = score_shard(*map(np.concatenate, (contexts, symbols, counts)), trunk, min_count, worth, depth)
         out = grams[["pack", "lead", "shard", "size"]].copy()
-        out["logs"] = [_squeeze(logs[places[i]]) for i in grams.index]
+        out["logs"] = [encode_logs(logs[places[i]]) for i in grams.index]
         return out
 
     def add_up(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -674,7 +706,8 @@ def score_units(
         sums = np.zeros(len(pack.size))
         by_lead = dict(list(found.sort_values("shard").groupby("lead")))
         for lead, at in pack.leads():
-            logs = np.concatenate([_expand(z, n, np.float64) for z, n in zip(by_lead[lead]["logs"], by_lead[lead]["size"], strict=True)])
+            own = by_lead[lead]
+            logs = np.concatenate([decode_logs(z, n) for z, n in zip(own["logs"], own["size"], strict=True)])
             keys = pack.keys(at)
             order = np.argsort(keys)
             each = np.empty(len(at))
@@ -711,6 +744,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     )
     rows = rows.mapInPandas(spell, f"uid bigint, doc_id {kind}, n bigint, n_tokens bigint, unit binary")
     rows = materialize(rows, "texts", compression="zstd")
+    unit_logs = score_units(rows.select("uid", "unit", "n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -774,7 +808,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     )
     main = rows.select("uid", "doc_id", (F.col("n") == 0).alias("held_out"), "n_tokens")
     main = main.join(passed.where("word IS NULL").select("uid", "known", "base"), "uid").join(rare, "uid", "left")
-    return main.join(score_units(rows.select("uid", "unit", "n")), "uid").select(
+    return main.join(unit_logs, "uid").select(
         "doc_id",
         "held_out",
         "n_tokens",
