@@ -693,7 +693,7 @@ def score_units(
                 places[i] = part
             base += len(keys)
         if not base:
-            return pd.DataFrame({"pack": [], "lead": [], "shard": [], "size": [], "logs": []})
+            return pd.DataFrame(columns=["pack", "lead", "shard", "size", "logs"], dtype=object)
         logs = score_shard(*map(np.concatenate, (contexts, symbols, counts)), trunk, min_count, worth, depth)
         out = grams[["pack", "lead", "shard", "size"]].copy()
         out["logs"] = [encode_logs(logs[places[i]]) for i in grams.index]
