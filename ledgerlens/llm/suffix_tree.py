@@ -539,7 +539,18 @@ def shard_bounds(units: DataFrame, shard_grams: int = SHARD_GRAMS, depth: int =
     sample = units.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0)
     drawn = pack_units(sample).mapInPandas(draw, "context bigint").toPandas()["context"].to_numpy(np.int64).view(np.uint64)
     drawn.sort()
-    return sorted({int(drawn[i * len(drawn) // shards]) for i in range(1, shards)}) if len(drawn) else []
+    return short_bounds(sorted({int(drawn[i * len(drawn) // shards]) for i in range(1, shards)}) if len(drawn) else [], depth)
+
+
+def short_bounds(bounds: list[int], depth: int = DEPTH) -> list[int]:
+    """Bounds moved, by half a shard at most, to where the shortest context begins: few contexts then reach over."""
+    out = set()
+    for i, bound in enumerate(bounds):
+        low = (bounds[i - 1] + bound) // 2 if i else 0
+        high = (bound + bounds[i + 1]) // 2 if i + 1 < len(bounds) else bound
+        starts = (high >> 8 * (depth - k) << 8 * (depth - k) for k in range(1, depth + 1))
+        out.add(next(c for c in starts if c > low or c == high))
+    return sorted(out)
 
 
 def count_trunk(packs: DataFrame, bounds: list[int], depth: int = DEPTH) -> DataFrame:
@@ -550,7 +561,9 @@ def count_trunk(packs: DataFrame, bounds: list[int], depth: int = DEPTH) -> Data
         return [_prefix(edges, k, depth) for k in range(depth)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = [np.unique(level) for level in trunk_levels()] if bounds else []
+        edges = np.array(bounds, dtype=np.uint64)
+        # A context that begins at a bound lies on one side of it.
+        levels = [np.unique(level[level << np.uint64(8 * (depth - k)) != edges] if k else level) for k, level in enumerate(trunk_levels())]
         for batch in batches if bounds else ():
             for size, n, body in zip(batch["size"], batch["n"], batch["body"], strict=True):
                 pack = Pack(size, body, depth)

@@ -95,3 +95,11 @@ def test_no_gram_is_a_row(spark):
         patch.setattr(suffix_tree, "materialize", counted)
         assert suffix_tree.score_texts(docs.repartition(4)).count() == 400
     assert dict(written)["unit-logs"] == 400 and not {"units", "grams", "states", "tree"} & set(dict(written))
+
+
+def test_bounds_begin_short_contexts():
+    """Before, every bound was a whole context, whose eight prefixes every pack had to count."""
+    drawn = sorted(int.from_bytes(bytes([a, b, *b"etaoin"]), "big") for a in range(97, 123) for b in range(97, 123))
+    bounds = suffix_tree.short_bounds(drawn)
+    assert len(bounds) == len(drawn) and all(b & (1 << 40) - 1 == 0 for b in bounds[:-1])
+    assert suffix_tree.short_bounds([5, 6, 7]) == [5, 6, 7] and suffix_tree.short_bounds([]) == []
