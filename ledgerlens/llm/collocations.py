@@ -48,8 +48,10 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORDS = r"[^\x20\x09.]+"
 TOKENS = WORDS + r"|\.+"
-_ROW = 8_192
+# Words of a row of the corpus; words counted at once, and rows sent back at once.
+_ROW = 1_024
 _CHUNK = 400_000
+_SENT = 65_536
 
 
 def folded(text: Column) -> Column:
@@ -102,7 +104,13 @@ def code_corpus(rows: DataFrame, frequent) -> DataFrame:
     return rows.select(F.transform(tokens, of).alias("codes")).mapInPandas(keep, "codes array<bigint>")
 
 
-def _over_chunks(corpus: DataFrame, schema: str, count: Callable[[np.ndarray], pd.DataFrame]) -> DataFrame:
+def _sent(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Columns as frames of ``_SENT`` rows, so that neither side of a task holds all of them once more."""
+    for at in range(0, len(next(iter(columns.values()))), _SENT):
+        yield pd.DataFrame({k: v[at : at + _SENT].view(np.int64) for k, v in columns.items()})
+
+
+def _over_chunks(corpus: DataFrame, schema: str, count: Callable[[np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
     """``count`` over the corpus, many words at a time; phrases do not cross rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,10 +121,11 @@ def _over_chunks(corpus: DataFrame, schema: str, count: Callable[[np.ndarray], p
                 held += [codes, stop]
                 size += len(codes) + 1
                 if size > _CHUNK:
-                    yield count(np.concatenate(held).view(np.uint64))
-                    held, size = [], 0
+                    words, held, size = np.concatenate(held).view(np.uint64), [], 0
+                    yield from count(words)
         if held:
-            yield count(np.concatenate(held).view(np.uint64))
+            words, held = np.concatenate(held).view(np.uint64), []
+            yield from count(words)
 
     return corpus.mapInPandas(run, schema)
 
@@ -124,7 +133,7 @@ def _over_chunks(corpus: DataFrame, schema: str, count: Callable[[np.ndarray], p
 def grow(corpus: DataFrame, size: int, first, prefixes) -> DataFrame:
     """(code, prefix, last, a) of phrases of ``size`` words below the prefixes of the filters."""
 
-    def count(x: np.ndarray) -> pd.DataFrame:
+    def count(x: np.ndarray) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero((x != 0) & may_hold(first.value, x))
         h = x[at]
         for j in range(1, size):
@@ -137,8 +146,7 @@ def grow(corpus: DataFrame, size: int, first, prefixes) -> DataFrame:
                 h = grown(h, x[at + j])
         codes = grown(h, x[at + size - 1])
         codes, where, n = np.unique(codes, return_index=True, return_counts=True)
-        columns = {"code": codes, "prefix": h[where], "last": x[at[where] + size - 1], "a": n.astype(np.uint64)}
-        return pd.DataFrame({k: v.view(np.int64) for k, v in columns.items()})
+        yield from _sent({"code": codes, "prefix": h[where], "last": x[at[where] + size - 1], "a": n.astype(np.uint64)})
 
     found = _over_chunks(corpus, "code bigint, prefix bigint, last bigint, a bigint", count)
     return found.groupBy("code").agg(F.first("prefix").alias("prefix"), F.first("last").alias("last"), F.sum("a").alias("a"))
@@ -148,10 +156,10 @@ def look_up(corpus: DataFrame, wanted, longest: int = LONGEST) -> DataFrame:
     """(code, f, before): how often the wanted phrases of 2 to ``longest`` - 1 words occur, and how often
     at most after the same word."""
 
-    def count(x: np.ndarray) -> pd.DataFrame:
+    def count(x: np.ndarray) -> Iterator[pd.DataFrame]:
         before = np.concatenate([np.zeros(1, dtype=np.uint64), x[:-1]])
         at = np.flatnonzero(x != 0)
-        h, out = x[at], []
+        h = x[at]
         for j in range(1, longest - 1):
             on = x[at + j] != 0
             at, h = at[on], h[on]
@@ -159,9 +167,7 @@ def look_up(corpus: DataFrame, wanted, longest: int = LONGEST) -> DataFrame:
             hit = may_hold(wanted.value, h)
             codes, left = h[hit], before[at[hit]]
             _, where, n = np.unique(_mix(codes) + left, return_index=True, return_counts=True)
-            out.append((codes[where], left[where], n))
-        codes, left, n = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pd.DataFrame({"code": codes.view(np.int64), "left": left.view(np.int64), "n": n})
+            yield from _sent({"code": codes[where], "left": left[where], "n": n.astype(np.uint64)})
 
     pairs = _over_chunks(corpus, "code bigint, left bigint, n bigint", count).groupBy("code", "left").agg(F.sum("n").alias("n"))
     return pairs.groupBy("code").agg(F.sum("n").alias("f"), F.max(F.when(F.col("left") != 0, F.col("n"))).alias("before"))
@@ -180,6 +186,11 @@ def _rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"phrase": own["code"].to_numpy(np.int64), "k": k, "code": h.view(np.int64)})
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """A table that grows with the corpus, never broadcast: some bytes of a written row are ten times as many in memory."""
+    return table.hint("merge")
+
+
 def _expand(spark: SparkSession, corpus: DataFrame, open_words: DataFrame, words: DataFrame, longest: int, min_count: int) -> DataFrame:
     """Surviving candidates whose first word is open: lang, words, a, l, r, n, score."""
 
@@ -196,7 +207,7 @@ def _expand(spark: SparkSession, corpus: DataFrame, open_words: DataFrame, words
         below = level.select(
             "lang", "n", F.col("code").alias("prefix"), F.col("words").alias("stem"), F.array_append("ls", F.col("a")).alias("ls")
         )
-        level = found.join(below, "prefix").select(
+        level = found.join(_dealt(below), "prefix").select(
             "lang", "n", "code", "prefix", F.array_append("stem", F.col("last")).alias("words"), "ls", "a"
         )
         level = materialize(level, f"phrases-{size}")
@@ -208,9 +219,9 @@ def _expand(spark: SparkSession, corpus: DataFrame, open_words: DataFrame, words
     wanted = rests.select("code").unionByName(every.where(F.size("words") < longest).select("code"))
     found = materialize(look_up(corpus, told(wanted), longest), "rest-counts")
     counts = found.select("code", F.col("f").alias("r")).unionByName(words.select("code", F.col("f").alias("r")))
-    rs = rests.join(counts, "code").groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("k", "r"))).alias("rs"))
-    rows = every.join(rs.withColumnRenamed("phrase", "code"), "code").join(after, "code", "left")
-    rows = rows.join(found.select("code", "before"), "code", "left")
+    rs = rests.join(_dealt(counts), "code").groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("k", "r"))).alias("rs"))
+    rows = every.join(_dealt(rs.withColumnRenamed("phrase", "code")), "code").join(_dealt(after), "code", "left")
+    rows = rows.join(_dealt(found.select("code", "before")), "code", "left")
     longer = F.greatest(F.coalesce("after", F.lit(0)), F.coalesce("before", F.lit(0)))
     rows = rows.where((F.size("words") == longest) | (100 * longer < CONTAINED * F.col("a")))
 
@@ -264,7 +275,7 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, lo
     place = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
     near_top = materialize(found.withColumn("place", place).where(F.col("place") <= top).drop("place"), "near-top")
     spelled = near_top.select("code", F.posexplode("words").alias("at", "word_code"))
-    spelled = spelled.join(words.select(F.col("code").alias("word_code"), "word"), "word_code").groupBy("code")
+    spelled = spelled.join(_dealt(words.select(F.col("code").alias("word_code"), "word")), "word_code").groupBy("code")
     spelled = spelled.agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("parts"))
     phrase = F.array_join(F.transform("parts", lambda p: p["word"]), " ")
     out = near_top.join(spelled, "code").withColumn("phrase", phrase)
